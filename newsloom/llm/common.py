@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.session import send_package
+
 #: Largest side, in rows of a few dozen bytes, that is sent to every executor.
 BROADCAST_ROWS = 2_000_000
 
@@ -19,6 +21,7 @@ _written: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    send_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 
 END_ID = 0
 _UNUSUAL = "[\\x00-\\x09\\x0b-\\x1f\\x7f-\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200f}\\x{2028}-\\x{202f}\\x{205f}\\x{3000}\\x{feff}]|[ \\n][ \\n]"
-_BATCH_BYTES = 32 << 20
+_BATCH_BYTES = 16 << 20
 _JOIN = 50_000
 
 
@@ -129,14 +129,14 @@ def _encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), counts
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = _BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of bounded text size (a single row may exceed it)."""
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).cumsum()
         start = 0
         while start < batch.num_rows:
             base = size[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(size, base + _BATCH_BYTES, "right")))
+            stop = max(start + 1, int(np.searchsorted(size, base + limit, "right")))
             yield batch.slice(start, stop - start)
             start = stop
 
