@@ -8,9 +8,9 @@ is left is verified on the whole shingle sets.
 
 Large groups of near copies never become rows of pairs: sets that agree with the
 least set of a bucket are first drawn together into families (linear in the
-buckets), a family is compared block by block inside tasks, and only pairs of
-different families leave the buckets one by one. Tasks return link counts and a
-spanning forest.
+buckets); sets of different families that outlast the pruning merge their families,
+so every candidate pair lies inside one; and a family is compared block by block
+inside tasks, which return link counts and a spanning forest.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ STEP = 16
 TOLERANCE = 1e-9
 FAMILY = 0.6  # share of equal values with a bucket's least set that makes a family
 BLOCK = 512
+HUB = 16  # members of one family in a bucket from which they are compared apart
 
 
 @functools.cache
@@ -69,7 +70,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     factors = shingles.hash_factors(HASHES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tokens.slices(batches, "text"):
+        for batch in tokens.slices(batches, "text", 6 << 20):
             flat, offsets = shingles.shingle(batch.column("text"), width)
             keys, sigs, sizes = [], [], []
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
@@ -134,42 +135,83 @@ def _block_pairs(x: int, y: int, side: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.repeat(a, len(b)), np.tile(b, len(a))
 
 
-def _cross_pairs(entries: DataFrame, family: DataFrame, stats: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different families that share a band and outlast the pruning, each
-    once: a pair belongs to the first band that it shares."""
-    tagged = entries.join(stats.select("band"), "band").join(family, "sk", "left").withColumn("family", F.coalesce("family", "sk"))
-    mixed = tagged.groupBy("band").agg(F.min("family").alias("lo"), F.max("family").alias("hi"), F.count("*").alias("members")).where("lo <> hi")
-    members = tagged.join(mixed.select("band"), "band").select("band", "sk", "family")
-    dealt = _blocked(members, "band", mixed.select("band", "members")).join(reps.select("sk", "sig"), "sk")
+def _cross_groups(entries: DataFrame, family: DataFrame) -> DataFrame:
+    """(g, sk, label): groups in which sets of different labels are to be compared.
+
+    A bucket of several families is a group. Where one family fills much of a bucket,
+    its members leave it: they meet the bucket's other sets in one group of that
+    family's own, whatever the number of buckets they share, so that a large family
+    is laid out once and not once a band.
+    """
+    tagged = entries.join(family, "sk", "left").select("band", "sk", F.coalesce("family", "sk").alias("family"))
+    part = tagged.groupBy("band", "family").agg(F.count("*").alias("c"))
+    mixed = part.groupBy("band").agg(F.count("*").alias("families"), F.max(F.struct("c", "family")).alias("top")).where("families > 1")
+    mixed = mixed.select("band", F.when(F.col("top.c") >= HUB, F.col("top.family")).alias("hub"))
+    rows = durable(tagged.join(mixed, "band"), "mixed")
+    rest = rows.where("hub is null or family <> hub").select(F.concat(F.lit("b"), F.col("band")).alias("g"), "sk", F.hex("family").alias("label"))
+    strays = rows.where("family <> hub").select(F.concat(F.lit("h"), F.hex("hub")).alias("g"), "sk", F.lit("").alias("label")).distinct()
+    hubs = rows.where("hub is not null").select("hub").distinct()
+    core = family.join(hubs, F.col("family") == F.col("hub")).select(F.concat(F.lit("h"), F.hex("family")).alias("g"), "sk", F.hex("family").alias("label"))
+    return rest.unionByName(strays).unionByName(core)
+
+
+def _cross_edges(groups: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of different labels in a group that outlast the pruning, thinned to a
+    spanning forest of each task: enough to merge their families."""
+    size = groups.groupBy("g").agg(F.count("*").alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("g", "members")
+    dealt = _blocked(groups, "g", size).join(reps.select("sk", "sig"), "sk")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("sk")
-        sig, fam, sk = _sigs(pdf["sig"]), pd.factorize(pdf["family"])[0], pdf["sk"].to_numpy()
+        sig, label, sk = _sigs(pdf["sig"]), pd.factorize(pdf["label"])[0], pdf["sk"].to_numpy()
         i, j = _block_pairs(key[1], key[2], pdf["side"].to_numpy())
-        out_i, out_j = [], []
+        forest = Forest(len(sk))
         for a in range(0, len(i), 65_536):
             p, q = i[a : a + 65_536], j[a : a + 65_536]
-            apart = fam[p] != fam[q]
+            apart = label[p] != label[q]
             p, q = p[apart], q[apart]
             keep = prune(sig, sig, p, q, threshold)
-            p, q = p[keep], q[keep]
-            if not len(p):
-                continue
-            shared = (sig[p] == sig[q]).reshape(-1, BANDS, ROWS).all(axis=2)
-            own = _band_keys(sig[p], shared.argmax(axis=1)) == key[0]
-            out_i.append(p[own & shared.any(axis=1)])
-            out_j.append(q[own & shared.any(axis=1)])
-        p, q = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (out_i, out_j))
-        swap = sk[p] > sk[q] if len(p) else np.zeros(0, bool)
-        return pd.DataFrame({"a": np.where(swap, sk[q], sk[p]), "b": np.where(swap, sk[p], sk[q])})
+            forest.add(p[keep], q[keep])
+        p, q = forest.arrays()
+        return pd.DataFrame({"a": sk[p], "b": sk[q]})
+
+    return dealt.groupBy("g", "x", "y").applyInPandas(run, "a binary, b binary")
 
-    return dealt.groupBy("band", "x", "y").applyInPandas(run, "a binary, b binary")
 
+class Forest:
+    """Union-find over numbers that keeps the edges which joined two trees."""
 
-def _band_keys(sig: np.ndarray, band: np.ndarray) -> np.ndarray:
-    rows = sig.reshape(-1, BANDS, ROWS)[np.arange(len(sig)), band].astype(np.uint64)
-    salt = band.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return shingles._finish((shingles._finish(rows + salt[:, None]) * shingles._factors(ROWS)).sum(axis=1, dtype=np.uint64) + salt).view(np.int64)
+    def __init__(self, n: int):
+        self.root = list(range(n))
+        self.edges: list[tuple[int, int]] = []
+
+    def _find(self, k: int) -> int:
+        root = self.root
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    def add(self, p: np.ndarray, q: np.ndarray) -> None:
+        for u, v in zip(p.tolist(), q.tolist()):
+            ru, rv = self._find(u), self._find(v)
+            if ru != rv:
+                self.root[ru] = rv
+                self.edges.append((u, v))
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        e = np.array(self.edges, np.int64).reshape(-1, 2)
+        return e[:, 0], e[:, 1]
+
+
+def _merged(family: DataFrame, cross: DataFrame) -> DataFrame:
+    """(g, sk): the families joined along the cross edges; sets without a family that
+    have such an edge are families of one first."""
+    lone = cross.select(F.explode(F.array("a", "b")).alias("sk")).distinct().join(family, "sk", "left_anti").select("sk", F.col("sk").alias("family"))
+    every = durable(family.unionByName(lone), "every")
+    name = lambda c, to: every.select(F.col("sk").alias(c), F.col("family").alias(to))
+    links = cross.join(name("a", "fa"), "a").join(name("b", "fb"), "b").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
+    root = components(links, "merges").select(F.col("node").alias("family"), "root")
+    return every.join(root, "family", "left").select(F.hex(F.coalesce("root", "family")).alias("g"), "sk")
 
 
 def _verify(dealt: DataFrame, threshold: float) -> DataFrame:
@@ -182,15 +224,7 @@ def _verify(dealt: DataFrame, threshold: float) -> DataFrame:
         i, j = _block_pairs(key[1], key[2], pdf["side"].to_numpy())
         sets = [np.frombuffer(x, "<u8") for x in pdf["set"]]
         size = np.array([len(x) for x in sets], np.int64)
-        links, root = np.zeros(len(sk), np.int64), np.arange(len(sk))
-
-        def find(k: int) -> int:
-            while root[k] != k:
-                root[k] = root[root[k]]
-                k = root[k]
-            return k
-
-        edges = []
+        links, forest = np.zeros(len(sk), np.int64), Forest(len(sk))
         for a in range(0, len(i), 65_536):
             p, q = i[a : a + 65_536], j[a : a + 65_536]
             near = np.minimum(size[p], size[q]) >= threshold * np.maximum(size[p], size[q]) - 1e-9
@@ -204,14 +238,10 @@ def _verify(dealt: DataFrame, threshold: float) -> DataFrame:
             p, q = p[yes], q[yes]
             np.add.at(links, p, copies[q])
             np.add.at(links, q, copies[p])
-            for u, v in zip(p.tolist(), q.tolist()):
-                ru, rv = find(u), find(v)
-                if ru != rv:
-                    root[ru] = rv
-                    edges.append((u, v))
+            forest.add(p, q)
         some = np.flatnonzero(links)
-        e = np.array(edges, np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": [*sk[some], *sk[e[:, 0]]], "n": [*links[some], *[0] * len(e)], "b": [*[None] * len(some), *sk[e[:, 1]]]})
+        u, v = forest.arrays()
+        return pd.DataFrame({"a": [*sk[some], *sk[u]], "n": [*links[some], *[0] * len(u)], "b": [*[None] * len(some), *sk[v]]})
 
     return dealt.groupBy("g", "x", "y").applyInPandas(run, "a binary, n bigint, b binary")
 
@@ -249,7 +279,7 @@ def _with_sets(docs: DataFrame, wanted: DataFrame, rows: int, width: int) -> Dat
     own = docs.select("doc_id", "text").join(small_side(names, rows), F.col("doc_id").eqNullSafe(F.col("_d")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tokens.slices(batches, "text"):
+        for batch in tokens.slices(batches, "text", 6 << 20):
             flat, offsets = shingles.shingle(batch.column("text"), width)
             keys, sets = [], []
             for want, a, b in zip(batch.column("_sk").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
@@ -282,10 +312,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5) ->
     stats = durable(entries.groupBy("band").agg(F.min("sk").alias("least"), F.count("*").alias("_n")).where("_n > 1").select("band", "least"), "buckets")
     shared = durable(entries.join(small_side(stats.select("band"), stats.count()), "band", "left_semi"), "shared")
     family = durable(components(_family_edges(shared, stats, reps, "stars"), "families").select(F.col("node").alias("sk"), F.col("root").alias("family")), "family")
-    cross = durable(_cross_pairs(shared, family, stats, reps, threshold), "cross")
-    # Tasks: families, and pairs across families as groups of two.
-    pair = cross.select(F.sha2(F.concat("a", "b"), 256).alias("g"), F.explode(F.array("a", "b")).alias("sk"))
-    group = family.select(F.hex("family").alias("g"), "sk").unionByName(pair)
+    cross = durable(_cross_edges(durable(_cross_groups(shared, family), "groups"), reps, threshold).distinct(), "cross")
+    group = durable(_merged(family, cross), "group")  # all candidates now lie inside a family
     sizes = group.groupBy("g").agg(F.count("*").alias("members"))
     wanted = durable(group.select("sk").distinct().join(reps, "sk").select("sk", "doc_id", "copies", "sig"), "wanted")
     sets = _with_sets(docs, wanted.select("sk", "doc_id"), wanted.count(), width).dropDuplicates(["sk"])
