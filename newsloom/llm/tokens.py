@@ -20,34 +20,50 @@ import pyarrow.compute as pc
 
 END_ID = 0
 _UNUSUAL = "[\\x00-\\x09\\x0b-\\x1f\\x7f-\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200f}\\x{2028}-\\x{202f}\\x{205f}\\x{3000}\\x{feff}]|[ \\n][ \\n]"
-_BATCH_BYTES = 16 << 20
-_JOIN = 50_000
+_BATCH_BYTES = 12 << 20
+_JOIN = 512
+_LETTERS = "^[A-Za-z\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{ff}]+$"
+
+
+def _byte_characters() -> dict[int, str]:
+    """Byte to the character that stands for it in a byte-level vocabulary: printable
+    bytes for themselves, the others from U+0100 on, in order."""
+    out, n = {}, 0
+    for b in range(256):
+        if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174:
+            out[b] = chr(b)
+        else:
+            out[b] = chr(256 + n)
+            n += 1
+    return out
 
 
 @functools.lru_cache(maxsize=2)
 def load(path: str):
+    """(tokenizer, the same one for words that are single pieces and come parted by
+    blanks, whether an id begins with white space)."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings inside a text are ordinary text
+    t, words = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    t.encode_special_tokens = words.encode_special_tokens = True  # their strings inside a text are ordinary text
+    words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
     vocab = t.get_vocab(with_added_tokens=True)
     opens = np.zeros(max(vocab.values()) + 1, bool)
     for word, i in vocab.items():
         opens[i] = word[:1] in ("Ġ", "Ċ")
-    return t, opens
+    return t, words, opens
 
 
 def _each(t, texts: list[str]) -> list[np.ndarray]:
-    return [np.array(e.ids, np.uint32) for e in t.encode_batch(texts, add_special_tokens=False)]
+    return [np.array(e.ids, np.uint32) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def _pieces(t, opens: np.ndarray, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of each word, as (flat ids, lengths); a word is one leading white space and non-spaces."""
-    flat, lengths = [], []
-    for i in range(0, len(words), _JOIN):
-        part = words[i : i + _JOIN]
-        ids = _each(t, ["".join(part)])[0]
+def _joined(t, opens: np.ndarray, words: list[str], glue: str) -> tuple[np.ndarray, np.ndarray]:
+    """(flat ids, ids per word) of words that each begin with white space."""
+    flat, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+    groups = [words[i : i + _JOIN] for i in range(0, len(words), _JOIN)]
+    for part, ids in zip(groups, (x for g in range(0, len(groups), 64) for x in _each(t, [glue.join(w) for w in groups[g : g + 64]]))):
         at = np.flatnonzero(opens[ids])
         if len(at) != len(part) or at[0] != 0:
             own = _each(t, part)
@@ -56,11 +72,37 @@ def _pieces(t, opens: np.ndarray, words: list[str]) -> tuple[np.ndarray, np.ndar
             n = np.diff(np.append(at, len(ids)))
         flat.append(ids)
         lengths.append(n)
-    if not flat:
-        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
     return np.concatenate(flat), np.concatenate(lengths).astype(np.int64)
 
 
+def _pieces(path: str, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(flat ids, begin and size of each distinct piece). A leading line feed stands
+    for itself, anything else follows one blank."""
+    t, single, opens = load(path)
+    letters = pc.match_substring_regex(words, _LETTERS).to_numpy(zero_copy_only=False)
+    blank = pc.is_in(words, pa.array(["", "\n"])).to_numpy(zero_copy_only=False)
+    begin, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+    parts, used = [], 0
+    # words of letters are one piece each: no pattern need part them again
+    ascii_only = pc.string_is_ascii(words).to_numpy(zero_copy_only=False)
+    wide = words.filter(pa.array(letters & ~ascii_only)).to_pylist()
+    accented = " ".join(wide).encode().decode("latin-1").translate({k: v for k, v in _byte_characters().items() if k > 126}).split(" ") if wide else []
+    simple = words.filter(pa.array(letters & ascii_only)).to_pylist()
+    other = ~letters & ~blank
+    rest = [w if w[0] == "\n" else " " + w for w in words.filter(pa.array(other)).to_pylist()]
+    for mask, own, coder, glue in ((letters & ascii_only, ["Ġ" + w for w in simple], single, " "), (letters & ~ascii_only, ["Ġ" + w for w in accented], single, " "), (other, rest, t, "")):
+        ids, n = _joined(coder, opens, own, glue)
+        begin[mask], size[mask] = used + np.cumsum(n) - n, n
+        parts.append(ids)
+        used += len(ids)
+    for i in np.flatnonzero(blank).tolist():
+        ids = _each(t, [words[i].as_py() or " "])[0]
+        begin[i], size[i] = used, len(ids)
+        parts.append(ids)
+        used += len(ids)
+    return np.concatenate(parts), begin, size
+
+
 def _gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The concatenation of flat[s : s + n]."""
     ends = np.cumsum(lengths)
@@ -72,39 +114,51 @@ def _gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nda
 
 
 def _encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
-    t, opens = load(path)
+    t = load(path)[0]
     n = len(texts)
     odd = pc.match_substring_regex(texts, _UNUSUAL).to_numpy(zero_copy_only=False)
-    plain = texts.filter(pa.array(~odd))
+    plain = texts.filter(pa.array(~odd)) if odd.any() else texts
     split = pc.split_pattern(pc.replace_substring(plain, "\n", " \n"), " ")
     offsets = split.offsets.to_numpy().astype(np.int64)
     words = split.flatten().dictionary_encode()
     code = words.indices.to_numpy().astype(np.int64)
-    known = words.dictionary.to_pylist()
-    blank = [i for i, w in enumerate(known) if w in ("", "\n")]
-    sure = [i for i, w in enumerate(known) if w not in ("", "\n")]
-    flat, length = _pieces(t, opens, [w if w[0] == "\n" else " " + w for w in (known[i] for i in sure)])
-    sizes = np.zeros(len(known), np.int64)
-    sizes[sure] = length
-    begin = np.zeros(len(known), np.int64)
-    begin[sure] = np.cumsum(length) - length
+    # Marks after a letter or digit are a piece of their own: words differ less often.
+    stems = pc.utf8_rtrim(words.dictionary, ".,;:!?")
+    ends_well = pc.match_substring_regex(stems, r"[\pL\pN]$").to_numpy(zero_copy_only=False)
+    marked = ends_well & (pc.binary_length(stems).to_numpy(zero_copy_only=False) < pc.binary_length(words.dictionary).to_numpy(zero_copy_only=False))
+    stem = pc.if_else(pa.array(ends_well), stems, words.dictionary).dictionary_encode()
+    flat, begin, sizes = _pieces(path, stem.dictionary)
+    own = stem.indices.to_numpy()
+    begin, sizes = begin[own], sizes[own]
     parts, used = [flat], len(flat)
-    for i in blank:
-        ids = _each(t, [known[i] or " "])[0]
-        begin[i], sizes[i] = used, len(ids)
-        parts.append(ids)
-        used += len(ids)
+    mark = np.full(len(words.dictionary), -1, np.int64)
+    tails = pc.replace_substring_regex(words.dictionary.filter(pa.array(marked)), r"(?s)^.*[\pL\pN]", "").dictionary_encode()
+    mark[marked] = tails.indices.to_numpy()
+    ids = _each(t, tails.dictionary.to_pylist())
+    m_size = np.array([len(x) for x in ids], np.int64)
+    m_begin = used + np.cumsum(m_size) - m_size
+    parts += ids
+    used += int(m_size.sum())
     # the first piece of a text has no white space before it
     first = offsets[:-1]
     at, size = begin[code], sizes[code]
     if len(first):
         heads, back = np.unique(code[first], return_inverse=True)
-        ids = _each(t, [known[i] for i in heads])
+        ids = _each(t, words.dictionary.take(pa.array(heads)).to_pylist())
         n_head = np.array([len(x) for x in ids], np.int64)
         s_head = used + np.cumsum(n_head) - n_head
         parts += ids
         used += int(n_head.sum())
         at[first], size[first] = s_head[back], n_head[back]
+    # marks follow their words; the mark of a first piece is part of its own ids
+    with_mark = mark[code] >= 0
+    with_mark[first] = False
+    after = np.flatnonzero(with_mark)
+    if len(after):
+        kind = mark[code[after]]
+        at, size = np.insert(at, after + 1, m_begin[kind]), np.insert(size, after + 1, m_size[kind])
+        offsets = offsets + np.append(0, np.cumsum(with_mark))[offsets]
+        first = offsets[:-1]
     # each text ends with the end id
     parts.append(np.array([END_ID], np.uint32))
     ends = offsets[1:]
@@ -139,6 +193,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = _BATCH_B
             stop = max(start + 1, int(np.searchsorted(size, base + limit, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+        pa.default_memory_pool().release_unused()
 
 
 def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
