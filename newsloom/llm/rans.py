@@ -151,14 +151,19 @@ def read_image(table: Table, image: bytes) -> tuple[np.ndarray, np.ndarray, np.n
 def _squeeze(ids: np.ndarray) -> bytes:
     """Byte planes under zstd: for shuffles and scratch tables only."""
     wide = 2 if not len(ids) or ids.max() < 1 << 16 else 4
-    planes = ids.astype(f"<u{wide}").view(np.uint8).reshape(-1, wide).T
-    return bytes([wide]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+    planes = np.empty((wide, len(ids)), np.uint8)
+    for k in range(wide):
+        planes[k] = ids >> (8 * k)
+    return bytes([wide]) + zstandard.ZstdCompressor(level=1).compress(planes)
 
 
 def _unsqueeze(data: bytes) -> np.ndarray:
     wide = data[0]
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(wide, -1)
-    return np.ascontiguousarray(planes.T).view(f"<u{wide}").ravel()
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(memoryview(data)[1:]), np.uint8).reshape(wide, -1)
+    out = planes[0].astype(np.uint32)
+    for k in range(1, wide):
+        out |= planes[k].astype(np.uint32) << np.uint32(8 * k)
+    return out
 
 
 def _shards(docs: DataFrame) -> np.ndarray:
@@ -230,7 +235,7 @@ def write_files(docs: DataFrame, tokenizer: str, path: str) -> Table:
     spark = docs.sparkSession
     segments = durable(_segments(docs, tokenizer), "segments")
     spark.sparkContext._jvm.System.gc()  # frees the finished shuffle before more is written
-    vocabulary = len(tokens.load(tokenizer)[1])
+    vocabulary = len(tokens.load(tokenizer)[-1])
     counts = _counts(segments, vocabulary)
     table = Table(counts)
     # Starts: running sums over shards (bounded by MAX_SHARDS) and, inside a shard,
