@@ -33,7 +33,7 @@ GAP = 0.6
 SPAN = 7  # characters that a subsequence may span
 LETTERS = 28  # blank, a-z, any other
 LONGEST = 48  # longer units are scored in overlapping windows of this length
-MAX_TRAIN = 8_000  # labelled documents in the training sample, at most
+MAX_TRAIN = 4_000  # labelled documents in the training sample, at most
 LANDMARKS = 96
 LAST_SENTENCE = r"[.!?\n]"
 
@@ -214,7 +214,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     back = phi.T @ root  # subsequence space -> Nyström features
 
     def nystrom(units: np.ndarray) -> np.ndarray:
-        return np.concatenate([features([known[i] for i in units[a : a + 2048]]) @ back for a in range(0, len(units), 2048)] or [np.zeros((0, len(root)))])
+        return np.concatenate([features([known[i] for i in units[a : a + 128]]) @ back for a in range(0, len(units), 128)] or [np.zeros((0, len(root)))])
 
     negatives = np.unique(np.concatenate([common[:1500], rng.permutation(common)[:2500]]))
     chosen = Counter({int(i): int(pos[i]) for i in top})
