@@ -9,6 +9,7 @@ white space, or two in a row, are encoded as they are. The result equals
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import os
 import zlib
@@ -19,8 +20,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 END_ID = 0
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _UNUSUAL = "[\\x00-\\x09\\x0b-\\x1f\\x7f-\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200f}\\x{2028}-\\x{202f}\\x{205f}\\x{3000}\\x{feff}]|[ \\n][ \\n]"
-_BATCH_BYTES = 12 << 20
+_BATCH_BYTES = 8 << 20
 _JOIN = 512
 _LETTERS = "^[A-Za-z\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{ff}]+$"
 
@@ -183,6 +185,13 @@ def _encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), counts
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = _BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of bounded text size (a single row may exceed it)."""
     for batch in batches:
@@ -193,7 +202,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = _BATCH_B
             stop = max(start + 1, int(np.searchsorted(size, base + limit, "right")))
             yield batch.slice(start, stop - start)
             start = stop
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
