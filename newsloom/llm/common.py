@@ -22,6 +22,8 @@ _written: list[str] = []
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     send_package(spark)
+    # whole texts are long rows: fewer of them per Arrow batch bound the memory of a task
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

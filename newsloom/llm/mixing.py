@@ -24,7 +24,7 @@ from newsloom.llm import tokens
 from newsloom.llm.common import durable
 
 HASHED = 1024
-MAX_TRAIN = 6_000  # labelled documents in the training sample, at most
+MAX_TRAIN = 4_000  # labelled documents in the training sample, at most
 STEPS = 24
 _CHUNK = 1 << 21
 
@@ -194,6 +194,7 @@ def _parts(batch: pa.RecordBatch, rows: int = 2048) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, weights: dict[str, float], total: float | None = None) -> tuple[Classifier, Rates, DataFrame]:
     """The classifier, the rates, and the memberships as a written table."""
     model = train(*training_rows(docs, labels))
+    tokens.give_back()
     members = durable(memberships(docs, model), "memberships")
     return model, fit_rates(members.select("n_tokens", "p"), model.domains, weights, total), members
 

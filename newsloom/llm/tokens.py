@@ -47,7 +47,8 @@ def load(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer, pre_tokenizers
 
-    t, words = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    t = Tokenizer.from_file(path)
+    words = Tokenizer(t.model)  # shares the vocabulary
     t.encode_special_tokens = words.encode_special_tokens = True  # their strings inside a text are ordinary text
     words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
     vocab = t.get_vocab(with_added_tokens=True)

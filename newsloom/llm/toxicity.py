@@ -298,7 +298,9 @@ def best_values(model: Model, texts: pa.Array) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) -> Model:
-    return train(*training_rows(docs, labels, limit))
+    model = train(*training_rows(docs, labels, limit))
+    tokens.give_back()
+    return model
 
 
 def drop_toxic(docs: DataFrame, model: Model, predicted_from: float = 0.7) -> DataFrame:
