@@ -34,8 +34,14 @@ def session_signals(articles: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def _round2(c: Column) -> Column:
-    """Two decimals, half to even on the decimal expansion of the binary value."""
-    return F.bround(c.cast("decimal(30,20)"), 2).cast("double")
+    """Two decimals, half to even on the exact binary value; no built-in rounds that
+    way, and there is one value per company."""
+
+    @F.pandas_udf("double")
+    def exact(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: round(v, 2), na_action="ignore")
+
+    return exact(c)
 
 
 def thresholds(signals: DataFrame, keys: list[str]) -> DataFrame:
