@@ -7,7 +7,8 @@ of its subsequences, so it stays near the plain one.
 
 Labels come per document. A sentence of a toxic document is positive through its
 best word group only (multiple-instance learning: start from the units that toxic
-documents have over others, then train and choose again). The machine is trained on
+documents have over others, then train and choose again). A second, small machine
+weighs a document's best units, since one near miss is no insult. The first is trained on
 Nyström features K(x, Z) K(Z, Z)^-1/2. As the features are linear in the kernel, the
 decision value of a unit is a sum of weights over its subsequences, which scores
 whole corpora without comparing units to landmarks one by one.
@@ -35,7 +36,7 @@ LETTERS = 28  # blank, a-z, any other
 LONGEST = 48  # longer units are scored in overlapping windows of this length
 MAX_TRAIN = 4_000  # labelled documents in the training sample, at most
 LANDMARKS = 96
-LAST_SENTENCE = r"[.!?\n]"
+BEST = 4  # units of a document that decide it
 
 
 @cache
@@ -107,8 +108,7 @@ def features(units: list[str]) -> np.ndarray:
 class Model:
     weights: np.ndarray  # of subsequences
     bias: float
-    slope: float  # of the logistic calibration
-    offset: float
+    top: np.ndarray  # weights of a document's best units, and a constant
 
     def units(self, units: list[str]) -> np.ndarray:
         """Decision values; of a long unit the largest over its windows."""
@@ -121,8 +121,8 @@ class Model:
                 np.maximum.at(best, at[a : a + 4096], value)
         return np.where(np.isfinite(best), best, out)
 
-    def probability(self, value: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * value + self.offset, -40, 40)))
+    def probability(self, texts: pa.Array) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(top_values(self, *units_of(texts)) @ self.top[:-1] + self.top[-1], -40, 40)))
 
 
 def units_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -167,6 +167,35 @@ def units_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return code, offsets, known
 
 
+def _gram_evidence(units: list[str], pos: np.ndarray, neg: np.ndarray, share: float, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """Per unit the strongest evidence of its runs of four or five letters, and that
+    run's number: insults that come in many forms are rare one by one. A run counts
+    where it is ``ratio`` times as frequent in toxic documents as in others."""
+    best, which = np.full(len(units), -np.inf), np.full(len(units), -1)
+    grams = []
+    for at, codes in _codes(units).values():
+        for n in (4, 5):
+            if codes.shape[1] >= n:
+                g = np.zeros((len(codes), codes.shape[1] - n + 1), np.int64)
+                for k in range(n):
+                    g = g * LETTERS + codes[:, k : k + g.shape[1]]
+                grams.append((at, (g * 2 + n % 2) % 4_194_301))
+    p, q = np.zeros(4_194_301, np.float32), np.zeros(4_194_301, np.float32)
+    for at, g in grams:
+        wide = g.shape[1]
+        p += np.bincount(g.ravel(), np.repeat(pos[at], wide), len(p)).astype(np.float32)
+        q += np.bincount(g.ravel(), np.repeat(neg[at], wide), len(q)).astype(np.float32)
+    z = (p - share * (p + q)) / np.sqrt(share * (1 - share) * np.maximum(p + q, 1))
+    z[(p + 0.5) * (1 - share) < ratio * (q + 0.5) * share] = -np.inf
+    for at, g in grams:
+        top = z[g].argmax(axis=1)
+        value = z[g][np.arange(len(g)), top]
+        better = value > best[at]
+        best[at[better]] = value[better]
+        which[at[better]] = g[better, top[better]]
+    return best, which
+
+
 def _fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 300) -> np.ndarray:
     """Linear SVM with squared hinge loss, by accelerated gradient descent."""
     ridge = 1e-4
@@ -182,13 +211,43 @@ def _fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 300
 
 
 def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
-    """Fits the machine on labelled documents; texts and labels alone are inputs."""
+    """Fits both machines on labelled documents; texts and labels alone are inputs.
+
+    The machine of units learns from two thirds of either class and the machine of
+    documents from the last third, where units are as new as they will be later.
+    """
+    place = {0: 0, 1: 0}
+    last = []
+    for y in labels:
+        last.append(place[int(bool(y))] % 3 == 2)
+        place[int(bool(y))] += 1
+    if min(place.values()) < 30:
+        first, last = [True] * len(texts), [True] * len(texts)
+    else:
+        first = [not x for x in last]
+    model = _train_units([t for t, x in zip(texts, first) if x], [y for y, x in zip(labels, first) if x], seed)
+    y_doc = np.array([bool(y) for y, x in zip(labels, last) if x], bool)
+    if not model.weights.any() or not y_doc.any() or y_doc.all():
+        return model
+    # The machine of documents: their best units, counted with repeats.
+    x = top_values(model, *units_of(pa.array([t for t, k in zip(texts, last) if k], pa.string())))
+    z = np.hstack([x, np.ones((len(x), 1))])
+    w, ridge = np.zeros(BEST + 1), np.diag([1e-3] * BEST + [1e-8])
+    for _ in range(60):  # Newton steps of a ridge-penalised logistic regression
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        w += np.linalg.solve((z * (p * (1 - p) / len(z))[:, None]).T @ z + ridge, z.T @ (y_doc - p) / len(z) - ridge @ w)
+    model.top = w
+    return model
+
+
+def _train_units(texts: list[str], labels: list[int], seed: int) -> Model:
+    """The machine of units; its Model weighs no documents yet."""
     y_doc = np.array(labels, bool)
     code, offsets, known = units_of(pa.array(texts, pa.string()))
     doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
     if not y_doc.any() or y_doc.all() or not len(code):
         share = float(y_doc.mean()) if len(y_doc) else 0.0
-        return Model(np.zeros(LETTERS**3), 0.0, 1.0, float(np.log((share + 1e-3) / (1 - share + 1e-3))))
+        return Model(np.zeros(LETTERS**3), 0.0, np.append(np.zeros(BEST), np.log((share + 1e-3) / (1 - share + 1e-3))))
     pairs = np.unique(doc * len(known) + code)
     in_doc, unit = pairs // len(known), pairs % len(known)
     pos = np.bincount(unit[y_doc[in_doc]], minlength=len(known)).astype(float)
@@ -199,12 +258,32 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     share = y_doc.mean()
     seen = pos + neg
     excess = (pos - share * seen) / np.sqrt(share * (1 - share) * np.maximum(seen, 1))
-    good = (size >= 3) & (excess > 4) & (odds > 1)
+    # the strictest evidence that reaches nearly all toxic documents
+    for ratio in (50, 15, 5):
+        gram, which = _gram_evidence(known, pos, neg, share, ratio)
+        proof = np.maximum(np.where(odds > np.log(ratio), excess, -np.inf), gram)
+        good = np.flatnonzero((size >= 4) & (pos > 0) & (proof > 6))
+        reached = np.unique(in_doc[np.isin(unit, good) & y_doc[in_doc]])
+        if len(reached) >= 0.97 * y_doc.sum():
+            break
+    excess = proof
     rng = np.random.default_rng(seed)
-    top = np.flatnonzero(good)[np.argsort(-excess[good], kind="stable")][: LANDMARKS // 2]
-    if not len(top):
-        top = np.flatnonzero(size >= 3)[np.argsort(-excess[size >= 3], kind="stable")][:8]
-    common = np.flatnonzero((size >= 3) & (neg > 0))
+    top, forms = [], Counter()
+    for i in good[np.lexsort((-pos[good], -excess[good]))].tolist():
+        forms[int(which[i])] += 1
+        if forms[int(which[i])] <= 3:  # a few forms of one insult suffice
+            top.append(i)
+        if len(top) == LANDMARKS // 2:
+            break
+    if not top:
+        some = np.flatnonzero(size >= 3)
+        top = some[np.argsort(-(pos - neg)[some], kind="stable")][:8].tolist()
+    top = np.array(top, np.int64)
+    seeds = good if len(good) else top
+    seeds = seeds[np.argsort(-excess[seeds], kind="stable")][:1500]
+    taken = np.zeros(len(known), bool)
+    taken[seeds] = True
+    common = np.flatnonzero((size >= 3) & (neg > 0) & ~taken)
     common = common[np.argsort(-neg[common], kind="stable")]
     rest = rng.permutation(common[: 40 * LANDMARKS])[: LANDMARKS - len(top)]
     phi = features([known[i] for i in [*top, *rest]]).astype(np.float64)
@@ -217,18 +296,17 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
         return np.concatenate([features([known[i] for i in units[a : a + 128]]) @ back for a in range(0, len(units), 128)] or [np.zeros((0, len(root)))])
 
     negatives = np.unique(np.concatenate([common[:1500], rng.permutation(common)[:2500]]))
-    chosen = Counter({int(i): int(pos[i]) for i in top})
+    chosen = Counter({int(i): int(max(pos[i], 1)) for i in seeds})
     by_doc = [unit[a:b] for a, b in zip(np.searchsorted(in_doc, np.flatnonzero(y_doc)), np.searchsorted(in_doc, np.flatnonzero(y_doc), "right"))]
-    clean_units = np.flatnonzero((neg > 0) & (size >= 3))
-    value = np.where(np.isin(np.arange(len(known)), top), odds, -np.inf)
-    model = Model(np.zeros(LETTERS**3), 0.0, 1.0, 0.0)
+    clean_units = common
+    model = Model(np.zeros(LETTERS**3), 0.0, np.zeros(BEST + 1))
     for turn in range(3):
         units = np.concatenate([np.fromiter(chosen, np.int64), negatives])
         y = np.concatenate([np.ones(len(chosen)), -np.ones(len(negatives))])
         weight = np.concatenate([np.fromiter(chosen.values(), float) / sum(chosen.values()), np.full(len(negatives), 1.0 / len(negatives))])
         x = np.hstack([nystrom(units), np.ones((len(units), 1))])
         w = _fit_svm(x, y, weight)
-        model = Model(back @ w[:-1], float(w[-1]), 1.0, 0.0)
+        model = Model(back @ w[:-1], float(w[-1]), np.zeros(BEST + 1))
         if turn == 2:
             break
         # choose again: hard negatives, and the best unit of each toxic document
@@ -237,25 +315,32 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
         value[some] = model.units([known[i] for i in some])
         hard = clean_units[np.argsort(-value[clean_units], kind="stable")][:1500]
         negatives = np.unique(np.concatenate([negatives, hard]))
-        chosen = Counter({int(i): int(pos[i]) for i in top})
+        chosen = Counter({int(i): int(max(pos[i], 1)) for i in seeds})
         for own in by_doc:
             fit = own[(neg[own] == 0) & (size[own] >= 3)]
             if len(fit) and value[fit].max() > 0:
                 chosen[int(fit[np.argmax(value[fit])])] += 1
-    # Calibration on the best unit of each training document.
-    own = np.unique(unit)
-    value = np.full(len(known), model.bias)
-    value[own] = model.units([known[i] for i in own])
-    best = np.full(len(texts), model.bias)
-    np.maximum.at(best, in_doc, value[unit])
-    low, high = np.quantile(best[~y_doc], 0.99), np.quantile(best[y_doc], 0.1)
-    # nearer the clean side: disguised insults score lower than plain ones
-    middle = low + 0.3 * (high - low) if high > low else (best[~y_doc].mean() + best[y_doc].mean()) / 2
-    model.slope = 8 / max(abs(high - low), 0.05)
-    model.offset = -model.slope * middle
     return model
 
 
+def top_values(model: Model, code: np.ndarray, offsets: np.ndarray, known: list[str]) -> np.ndarray:
+    """Per text the BEST largest decision values of its units, largest first, cut to
+    -1..1; -1 where it has fewer units."""
+    out = np.full((len(offsets) - 1, BEST), -1.0)
+    if not len(code):
+        return out
+    value = np.clip(model.units(known), -1.0, 1.0)
+    hit = np.flatnonzero(value[code] > -1.0)
+    doc = np.searchsorted(offsets, hit, "right") - 1
+    v = value[code[hit]]
+    order = np.lexsort((-v, doc))
+    doc, v = doc[order], v[order]
+    rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
+    keep = rank < BEST
+    out[doc[keep], rank[keep]] = v[keep]
+    return out
+
+
 def held_out() -> F.Column:
     return F.expr("crc32(cast(doc_id as string)) % 3") == 1
 
@@ -274,29 +359,19 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) ->
 def score(docs: DataFrame, model: Model, predicted_from: float = 0.7) -> DataFrame:
     """doc_id, score and prediction of every document row, over its whole text.
 
-    The score is the calibrated largest decision value over the units of the text's
-    sentences. Null, empty and wordless texts score as the bias alone; null or repeated
+    The score is a logistic function of the largest decision values over the units of
+    the text's sentences. Null, empty and wordless texts score lowest; null or repeated
     doc_ids keep their rows; other columns are ignored; no rows give no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tokens.slices(batches, "text"):
-            p = model.probability(best_values(model, batch.column("text")))
+            p = model.probability(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(p), pa.array((p >= predicted_from).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, score double, predicted int")
 
 
-def best_values(model: Model, texts: pa.Array) -> np.ndarray:
-    code, offsets, known = units_of(texts)
-    out = np.full(len(offsets) - 1, model.bias)
-    if len(code):
-        value = model.units(known)[code]
-        some = np.flatnonzero(np.diff(offsets))
-        out[some] = np.maximum.reduceat(value, offsets[:-1][some])
-    return out
-
-
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) -> Model:
     model = train(*training_rows(docs, labels, limit))
     tokens.give_back()
@@ -309,7 +384,7 @@ def drop_toxic(docs: DataFrame, model: Model, predicted_from: float = 0.7) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tokens.slices(batches, "text"):
-            keep = model.probability(best_values(model, batch.column("text"))) < predicted_from
+            keep = model.probability(batch.column("text")) < predicted_from
             yield batch.filter(pa.array(keep)).select(names)
 
     return docs.mapInArrow(run, schema)
