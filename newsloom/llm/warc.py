@@ -9,7 +9,6 @@ members joined are a valid .warc.gz.
 
 from __future__ import annotations
 
-import base64
 import gzip
 import hashlib
 import html as entities
@@ -37,8 +36,13 @@ _LINK = re.compile(r"""<(a|img|link|script|iframe)\b[^>]*?\s(?:href|src)\s*=\s*(
 _META = re.compile(r"""<meta\b[^>]*?\bname\s*=\s*["']?([\w.:-]+)["']?[^>]*?\bcontent\s*=\s*(?:"([^"]*)"|'([^']*)')""", re.I)
 
 
+_PAIRS = [a + b for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567" for b in "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"]
+
+
 def digest(data: bytes) -> str:
-    return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+    """SHA-1 in base 32, two letters for every ten bits."""
+    n = int.from_bytes(hashlib.sha1(data).digest(), "big")
+    return "sha1:" + "".join([_PAIRS[n >> s & 1023] for s in range(150, -1, -10)])
 
 
 def plain_text(html: str) -> str:
@@ -114,7 +118,11 @@ def derive(record: bytes) -> list[tuple[str, bytes]]:
     Digests of the source are checked where given; a source that fails them, or is no
     response, raises.
     """
-    headers, block = parse(record)
+    return [(kind, data) for kind, _, _, data in _derive(*parse(record))]
+
+
+def _derive(headers: list[tuple[str, str]], block: bytes) -> list[tuple[str, str, str, bytes]]:
+    """(kind, record id, source id, record) of both derivatives."""
     own = {k.lower(): v for k, v in headers}
     if own.get("warc-type") != "response":
         raise ValueError("not a response record")
@@ -136,8 +144,10 @@ def derive(record: bytes) -> list[tuple[str, bytes]]:
     text = plain_text(page).encode("utf-8", "replace")
     out = []
     for kind, mime, data in (("metadata", "application/json", json.dumps(facts, ensure_ascii=True, sort_keys=True).encode()), ("conversion", "text/plain", text)):
-        out.append((kind, serialize(
-            [("WARC-Type", kind), ("WARC-Record-ID", _record_id(kind, source, digest(data))), ("WARC-Refers-To", source), ("WARC-Date", own.get("warc-date", "")), ("WARC-Target-URI", own.get("warc-target-uri", "")), ("WARC-Source-Payload-Digest", payload), ("WARC-Block-Digest", digest(data)), ("Content-Type", mime)],
+        check = digest(data)
+        name = _record_id(kind, source, check)
+        out.append((kind, name, source, serialize(
+            [("WARC-Type", kind), ("WARC-Record-ID", name), ("WARC-Refers-To", source), ("WARC-Date", own.get("warc-date", "")), ("WARC-Target-URI", own.get("warc-target-uri", "")), ("WARC-Source-Payload-Digest", payload), ("WARC-Block-Digest", check), ("Content-Type", mime)],
             data,
         )))
     return out
@@ -175,9 +185,10 @@ def derivatives(source: DataFrame) -> DataFrame:
         for batch in batches:
             rows, size = [], 0
             for page_id, record in zip(batch.column("page_id").to_pylist(), batch.column("record").to_pylist()):
-                for kind, data in [("response", record), *derive(record)]:
-                    own = dict(parse(data)[0])
-                    rows.append((page_id, kind, own["WARC-Record-ID"], own.get("WARC-Refers-To"), gzip.compress(data, LEVEL, mtime=0)))
+                headers, block = parse(record)
+                source = next(v for k, v in headers if k.lower() == "warc-record-id")
+                for kind, name, refers_to, data in [("response", source, None, record), *_derive(headers, block)]:
+                    rows.append((page_id, kind, name, refers_to, gzip.compress(data, LEVEL, mtime=0)))
                     size += len(rows[-1][-1])
                 if size > 1 << 24:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
