@@ -232,7 +232,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     # The machine of documents: their best units, counted with repeats.
     x = top_values(model, *units_of(pa.array([t for t, k in zip(texts, last) if k], pa.string())))
     z = np.hstack([x, np.ones((len(x), 1))])
-    w, ridge = np.zeros(BEST + 1), np.diag([1e-3] * BEST + [1e-8])
+    w, ridge = np.zeros(BEST + 1), np.diag([1e-4] * BEST + [1e-8])
     for _ in range(60):  # Newton steps of a ridge-penalised logistic regression
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         w += np.linalg.solve((z * (p * (1 - p) / len(z))[:, None]).T @ z + ridge, z.T @ (y_doc - p) / len(z) - ridge @ w)
@@ -276,7 +276,7 @@ def _train_units(texts: list[str], labels: list[int], seed: int) -> Model:
         if len(top) == LANDMARKS // 2:
             break
     if not top:
-        some = np.flatnonzero(size >= 3)
+        some = np.flatnonzero((size >= 3) & (pos > neg))
         top = some[np.argsort(-(pos - neg)[some], kind="stable")][:8].tolist()
     top = np.array(top, np.int64)
     seeds = good if len(good) else top
@@ -303,7 +303,7 @@ def _train_units(texts: list[str], labels: list[int], seed: int) -> Model:
     for turn in range(3):
         units = np.concatenate([np.fromiter(chosen, np.int64), negatives])
         y = np.concatenate([np.ones(len(chosen)), -np.ones(len(negatives))])
-        weight = np.concatenate([np.fromiter(chosen.values(), float) / sum(chosen.values()), np.full(len(negatives), 1.0 / len(negatives))])
+        weight = np.concatenate([np.fromiter(chosen.values(), float) / max(sum(chosen.values()), 1), np.full(len(negatives), 1.0 / max(len(negatives), 1))])
         x = np.hstack([nystrom(units), np.ones((len(units), 1))])
         w = _fit_svm(x, y, weight)
         model = Model(back @ w[:-1], float(w[-1]), np.zeros(BEST + 1))
@@ -325,12 +325,12 @@ def _train_units(texts: list[str], labels: list[int], seed: int) -> Model:
 
 def top_values(model: Model, code: np.ndarray, offsets: np.ndarray, known: list[str]) -> np.ndarray:
     """Per text the BEST largest decision values of its units, largest first, cut to
-    -1..1; -1 where it has fewer units."""
-    out = np.full((len(offsets) - 1, BEST), -1.0)
+    0..1; 0 where it has fewer units, so that a short text is judged like a long one."""
+    out = np.zeros((len(offsets) - 1, BEST))
     if not len(code):
         return out
-    value = np.clip(model.units(known), -1.0, 1.0)
-    hit = np.flatnonzero(value[code] > -1.0)
+    value = np.clip(model.units(known), 0.0, 1.0)
+    hit = np.flatnonzero(value[code] > 0.0)
     doc = np.searchsorted(offsets, hit, "right") - 1
     v = value[code[hit]]
     order = np.lexsort((-v, doc))
