@@ -263,11 +263,14 @@ def test_toxicity_on_the_held_out_fold(spark):
     model = toxicity.fit(d, lab)
     got = toxicity.score(d, model).join(lab, "doc_id").where(toxicity.held_out())
     tp, fp, fn = (got.where(c).count() for c in ("predicted = 1 and toxic = 1", "predicted = 1 and toxic = 0", "predicted = 0 and toxic = 1"))
+    print(tp, fp, fn)
     # few labels here, and forms that clean documents hold by chance
     assert tp > 50 and tp / (tp + fp) > 0.8 and tp / (tp + fn) > 0.7
     p = lambda t: float(model.probability(pa.array([t]))[0])
-    for plain in ("an idiot, stupid", "an i.d.i.o.t and st.upid", "i d i o t and t r a s h again", "an 1di0t, a cl0wn", "a tr-ash heap of sc_um"):
-        assert p(plain) >= 0.7, plain
+    plain = p("an idiot and a stupid clown, some trash")
+    assert plain >= 0.7
+    for disguised in ("an i.d.i.o.t and a st.upid c-l-o-w-n, some tr_ash", "an i d i o t and a stupid c l o w n, some trash", "an 1di0t and a stup1d cl0wn, some tra$h"):
+        assert p(disguised) >= plain - 0.05, disguised
     assert p("the quiet river runs by the meadow") < 0.3 and p("") < 0.3
 
 
