@@ -9,12 +9,12 @@ members joined are a valid .warc.gz.
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import html as entities
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
@@ -27,6 +27,9 @@ from newsloom.llm.common import scratch_path
 CRLF = b"\r\n"
 LEVEL = 1  # of gzip: within 6 % of the size of 6 in half its time
 _ABSOLUTE = re.compile(r"https?://[^#?]*/[^#]*$")
+#: a path from the root that joining would not alter: no dot segment, query, fragment or blank
+_ROOTED = re.compile(r"/(?![/.])(?!.*/\.)[^\x00-\x20?#;]*\Z")
+_NAMESPACE = uuid.NAMESPACE_URL.bytes
 RECORD = "page_id bigint, kind string, record_id string, refers_to string, member binary"
 _DROP = re.compile(r"<!--.*?-->|<(script|style|noscript|template|svg)\b[^>]*>.*?</\1\s*>", re.S | re.I)
 _BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|option|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>", re.I)
@@ -52,9 +55,20 @@ def plain_text(html: str) -> str:
 
 
 def _visible(html: str) -> str:
-    text = _TAG.sub("", _BLOCK.sub("\n", html))
-    lines = (" ".join(x.split()) for x in entities.unescape(text).split("\n"))
-    return "\n".join(x for x in lines if x)
+    text = _TAG.sub("", _BLOCK.sub("\n", html)) if "<" in html else html
+    return "\n".join([" ".join(words) for x in entities.unescape(text).split("\n") if (words := x.split())])
+
+
+def pack(data: bytes) -> bytes:
+    """One gzip member; window and tables no larger than the data can use."""
+    bits = min(15, max(9, len(data).bit_length()))
+    c = zlib.compressobj(LEVEL, zlib.DEFLATED, 16 + bits, min(8, max(1, bits - 6)))
+    return c.compress(data) + c.flush()
+
+
+def unpack(member: bytes) -> bytes:
+    """The data of one gzip member, its length and checksum verified."""
+    return zlib.decompress(member, 31, 4 * len(member))
 
 
 def serialize(headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -64,21 +78,25 @@ def serialize(headers: list[tuple[str, str]], block: bytes) -> bytes:
 
 def parse(record: bytes) -> tuple[list[tuple[str, str]], bytes]:
     """(headers in order, block); raises where the record is not whole."""
-    head, sep, rest = record.partition(CRLF + CRLF)
-    lines = head.split(CRLF)
-    if not sep or not lines[0].startswith(b"WARC/1."):
+    at = record.find(CRLF + CRLF)
+    lines = record[: max(at, 0)].decode().split("\r\n")
+    if at < 0 or not lines[0].startswith("WARC/1."):
         raise ValueError("not a WARC record")
-    headers = []
+    headers, n = [], None
     for line in lines[1:]:
-        if line[:1] in (b" ", b"\t") and headers:  # a folded header line
-            headers[-1] = (headers[-1][0], headers[-1][1] + " " + line.decode().strip())
+        if line[:1] in (" ", "\t") and headers:  # a folded header line
+            headers[-1] = (headers[-1][0], headers[-1][1] + " " + line.strip())
         else:
-            k, _, v = line.decode().partition(":")
+            k, _, v = line.partition(":")
             headers.append((k.strip(), v.strip()))
-    n = int(dict((k.lower(), v) for k, v in headers)["content-length"])
-    if len(rest) < n + 4 or rest[n : n + 4] != CRLF + CRLF:
+    for k, v in headers:
+        if k.lower() == "content-length":
+            n = int(v)
+    if n is None:
+        raise ValueError("no block length")
+    if not record.startswith(CRLF + CRLF, at + 4 + n):
         raise ValueError("block length does not match")
-    return headers, rest[:n]
+    return headers, record[at + 4 : at + 4 + n]
 
 
 def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
@@ -102,16 +120,18 @@ def _decode(body: bytes, charset: str) -> str:
 
 
 def _record_id(*parts: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, chr(10).join(parts))}>"
+    """A version 5 UUID of the parts, in the namespace of addresses."""
+    h = hashlib.sha1(_NAMESPACE + "\n".join(parts).encode()).hexdigest()
+    return f"<urn:uuid:{h[:8]}-{h[8:12]}-5{h[13:16]}-{int(h[16], 16) & 3 | 8:x}{h[17:20]}-{h[20:32]}>"
 
 
 def response(uri: str, html: str, date: str, key: str) -> bytes:
     """A response record for a page kept as bare HTML; its id follows from its key."""
     body = html.encode("utf-8", "surrogatepass")
     block = b"HTTP/1.1 200 OK" + CRLF + b"Content-Type: text/html; charset=utf-8" + CRLF + f"Content-Length: {len(body)}".encode() + CRLF + CRLF + body
-    clean = re.sub(r"[\r\n]+", " ", uri)
+    clean, payload = re.sub(r"[\r\n]+", " ", uri), digest(body)
     return serialize(
-        [("WARC-Type", "response"), ("WARC-Record-ID", _record_id("response", key, clean, digest(body))), ("WARC-Date", date), ("WARC-Target-URI", clean), ("WARC-Payload-Digest", digest(body)), ("WARC-Block-Digest", digest(block)), ("Content-Type", "application/http; msgtype=response")],
+        [("WARC-Type", "response"), ("WARC-Record-ID", _record_id("response", key, clean, payload)), ("WARC-Date", date), ("WARC-Target-URI", clean), ("WARC-Payload-Digest", payload), ("WARC-Block-Digest", digest(block)), ("Content-Type", "application/http; msgtype=response")],
         block,
     )
 
@@ -139,7 +159,10 @@ def _derive(headers: list[tuple[str, str]], block: bytes) -> list[tuple[str, str
     page = _decode(body, _charset(http))
     title = _TITLE.search(page)
     bare = _DROP.sub(" ", page)
-    links = [{"tag": t.lower(), "url": urljoin_safe(own.get("warc-target-uri", ""), entities.unescape(a or b or c))} for t, a, b, c in _LINK.findall(bare)]
+    base = own.get("warc-target-uri", "")
+    root = urljoin_safe(base, "/")[:-1]
+    urls = [(t.lower(), entities.unescape(a or b or c)) for t, a, b, c in _LINK.findall(bare)]
+    links = [{"tag": t, "url": root + u if _ROOTED.match(u) else urljoin_safe(base, u)} for t, u in urls]
     facts = {
         "source": dict(headers),
         "http": {"status": status, "headers": [list(x) for x in http]},
@@ -172,35 +195,54 @@ def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")))
-            out = [response(url or "", html or "", date, str(page_id)) for page_id, url, html in rows]
+            out = [record for _, record in _responses(batch, date)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id").cast(pa.int64()), pa.array(out, pa.binary())], names=["page_id", "record"])
 
     return pages.select("page_id", "url", "html").mapInArrow(run, "page_id bigint, record binary")
 
 
+def _responses(batch: pa.RecordBatch, date: str) -> Iterator[tuple[int | None, bytes]]:
+    for page_id, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html"))):
+        yield page_id, response(url or "", html or "", date, str(page_id))
+
+
 def derivatives(source: DataFrame) -> DataFrame:
     """For each response (page_id, record) its own, its metadata and its conversion
     record as gzip members: page_id, kind, record_id, refers_to, member."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
-        names = [x.split()[0] for x in RECORD.split(", ")]
         for batch in batches:
-            rows, size = [], 0
-            for page_id, record in zip(batch.column("page_id").to_pylist(), batch.column("record").to_pylist()):
-                headers, block = parse(record)
-                source = next(v for k, v in headers if k.lower() == "warc-record-id")
-                for kind, name, refers_to, data in [("response", source, None, record), *_derive(headers, block)]:
-                    rows.append((page_id, kind, name, refers_to, gzip.compress(data, LEVEL, mtime=0)))
-                    size += len(rows[-1][-1])
-                if size > 1 << 24:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-                    rows, size = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+            yield from _members(zip(batch.column("page_id").to_pylist(), batch.column("record").to_pylist()))
 
-    return source.mapInArrow(run, RECORD)
+    return source.select("page_id", "record").mapInArrow(run, RECORD)
+
+
+def page_derivatives(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+    """``derivatives(responses(pages))`` in one pass: whole records do not travel
+    between the two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _members(_responses(batch, date))
+
+    return pages.select("page_id", "url", "html").mapInArrow(run, RECORD)
+
+
+def _members(records: Iterator[tuple[int | None, bytes]]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
+    names = [x.split()[0] for x in RECORD.split(", ")]
+    rows, size = [], 0
+    for page_id, record in records:
+        headers, block = parse(record)
+        source = next(v for k, v in headers if k.lower() == "warc-record-id")
+        for kind, name, refers_to, data in [("response", source, None, record), *_derive(headers, block)]:
+            rows.append((page_id, kind, name, refers_to, pack(data)))
+            size += len(rows[-1][-1])
+        if size > 1 << 24:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+            rows, size = [], 0
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
 def write(records: DataFrame, path: str) -> None:
@@ -218,7 +260,7 @@ def read(spark, path: str, blocks: tuple[str, ...] = ("response", "metadata", "c
         for batch in batches:
             rows = []
             for page_id, member in zip(batch.column("page_id").to_pylist(), batch.column("member").to_pylist()):
-                headers, block = parse(gzip.decompress(member))
+                headers, block = parse(unpack(member))
                 own = dict(headers)
                 source = own.get("WARC-Source-Payload-Digest") or own.get("WARC-Payload-Digest")
                 rows.append((page_id, own["WARC-Type"], own["WARC-Record-ID"], own.get("WARC-Refers-To"), own["WARC-Target-URI"], own["WARC-Date"], source, own["WARC-Block-Digest"], own["WARC-Block-Digest"] == digest(block), block if own["WARC-Type"] in blocks else None))
@@ -237,7 +279,7 @@ def build(pages: DataFrame) -> DataFrame:
     """
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
-    write(derivatives(responses(pages)), path)
+    write(page_derivatives(pages), path)
     own = read(spark, path, ("metadata", "conversion"))
     pick = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
     lean = own.withColumn("text", F.when(F.col("kind") == "conversion", F.decode("block", "UTF-8"))).withColumn("facts", F.when(F.col("kind") == "metadata", F.decode("block", "UTF-8")))

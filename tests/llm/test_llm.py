@@ -175,6 +175,30 @@ def test_derivatives_link_back_and_check(spark):
     got = warc.build(rows)
     assert got.count() == 4 and got.where("valid").count() == 4
     assert warc.build(rows.limit(0)).count() == 0
+    apart = warc.derivatives(warc.responses(rows)).collect()
+    assert sorted(map(str, apart)) == sorted(map(str, warc.page_derivatives(rows).collect()))
+
+
+@pytest.mark.parametrize("n", [0, 1, 600, 40000, 300000])
+def test_gzip_members_hold_their_data(n):
+    import gzip
+
+    data = (b"some text, " * (n // 11 + 1))[: n // 2] + np.random.default_rng(n).bytes(n - n // 2)
+    member = warc.pack(data)
+    assert gzip.decompress(member) == warc.unpack(member) == data
+    assert gzip.decompress(member + warc.pack(b"next")) == data + b"next"
+    with pytest.raises(zlib.error):
+        warc.unpack(member[:-1])
+
+
+def test_rooted_links_join_like_others():
+    from urllib.parse import urljoin
+
+    for base in ("http://e.org/a/b.html", "HTTPS://E.org", "", "mailto:x", "//h/x"):
+        for path in ("/", "/a", "//b", "/.", "/a/../b", "/a?", "/a#x", "/a b", "/ä/c.html", "/a;p", "/...", "/a/.b"):
+            html = f"<a href='{path}'>x</a>"
+            (_, meta), _ = warc.derive(warc.response(base, html, "d", "1"))
+            assert json.loads(warc.parse(meta)[1])["html"]["links"][0]["url"] == urljoin(base, path)
 
 
 # --- near duplicates ------------------------------------------------------------------
