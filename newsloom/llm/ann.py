@@ -4,8 +4,12 @@ Centroids come from balanced k-means on a bounded sample and are searched throug
 in-memory neighbour graph. Every vector goes to its nearest list and, if it lies near
 a boundary, to further lists whose centroids are almost as near and not shadowed by a
 chosen one. A query reads the lists whose centroid distance is within a ratio of the
-nearest. Lists are cut into blocks, so a vector that a third of all rows repeat fills
-many blocks and no task; every row is indexed, the sample only places the centroids.
+nearest, and as many of them as a block of held queries needs: their true neighbours
+are found by comparing them with every row, and the lists read grow until RECALL of
+these neighbours are met. Where that would read more than every row once, every row is
+compared with every query instead, and the result is exact. Lists are cut into blocks,
+so a vector that a third of all rows repeat fills many blocks and no task; every row is
+indexed, the sample only places the centroids.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm import vectors
@@ -26,8 +30,11 @@ MOST_LISTS = 2_048
 REPLICAS = 4
 CLOSURE = 1.12  # boundary vectors go to lists within this ratio of the nearest
 PRUNE = 1.35  # queries read lists within this ratio of the nearest
-PROBES = 64
+PROBES = 64  # lists a query reads before any are added
 BLOCK, QUERY_BLOCK = 4_096, 1_024
+HELD = 256  # queries whose true neighbours are found to measure recall
+RECALL = 0.95  # aimed at on the held queries
+WIDEST = 4.0  # ratio beyond which every row is compared
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -81,6 +88,10 @@ class Graph:
         and infinity where fewer were met."""
         n = len(self.c)
         width = min(width, n)
+        if 8 * width >= n:  # so wide a search meets most centroids: compare with all
+            d = 2 - 2 * q @ self.c.T
+            order = np.argsort(d, axis=1, kind="stable")[:, :width]
+            return order, np.sqrt(np.maximum(np.take_along_axis(d, order, 1), 0))
         d = np.full((len(q), n), np.inf, np.float32)  # n is at most MOST_LISTS
         done = np.zeros((len(q), n), bool)
         rows = np.arange(len(q))
@@ -133,6 +144,65 @@ def _routed(rows: DataFrame, graph: Graph, ratio: float, most: int, shadow: bool
     return rows.select("vec_id", "v").mapInPandas(run, "list int, vec_id bigint, v array<double>")
 
 
+def _found(ids: np.ndarray, x: np.ndarray, own: np.ndarray, y: np.ndarray, k: int) -> dict[str, np.ndarray]:
+    """query_id, vec_id, score: the k best rows x for every query y, its own left out."""
+    out = {"query_id": [], "vec_id": [], "score": []}
+    if len(ids) and len(own):
+        order = np.argsort(ids, kind="stable")
+        ids, x = ids[order], unit(x[order])
+        y = unit(y)
+        for a in range(0, len(y), 256):
+            s = y[a : a + 256] @ x.T
+            s[own[a : a + 256, None] == ids[None, :]] = -np.inf
+            at = vectors.best(s, ids, min(k + 1, len(ids)))
+            got = np.take_along_axis(s, at, 1)
+            keep = np.isfinite(got)
+            # one order of summation for every pair, whatever its block
+            r, c = np.nonzero(keep)
+            out["query_id"].append(own[a + r])
+            out["vec_id"].append(ids[at[r, c]])
+            out["score"].append(_cosine(y[a + r], x[at[r, c]]))
+    return {c: np.concatenate(z) if z else [] for c, z in out.items()}
+
+
+def _true(rows: DataFrame, held: pd.DataFrame, k: int) -> pd.DataFrame:
+    """query_id, v: the vectors of the k true neighbours of each held query."""
+    own, y = held["vec_id"].to_numpy(), vectors.matrix(held["v"])
+
+    def run(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        top = []
+        for pdf in pages:
+            page = pd.DataFrame(_found(pdf["vec_id"].to_numpy(), vectors.matrix(pdf["v"]), own, y, k))
+            top = [pd.concat([*top, page]).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)]
+        yield from top
+
+    found = vectors.ranked(rows.mapInPandas(run, vectors.TOP.format("double")), k)
+    # at most k rows for each of HELD queries
+    return rows.join(F.broadcast(found.select("query_id", "vec_id")), "vec_id").select("query_id", "v").toPandas()
+
+
+def _reach(graph: Graph, held: pd.DataFrame, true: pd.DataFrame, share: np.ndarray) -> tuple[float, int] | None:
+    """Ratio and number of lists that meet RECALL of the true neighbours of the held
+    queries; None where lists of these shares of the rows would cost more than all rows."""
+    ask = unit(vectors.matrix(held["v"])).astype(np.float32)
+    if not len(true):
+        return PRUNE, PROBES
+    row = pd.Series(range(len(held)), index=held["vec_id"]).loc[true["query_id"]].to_numpy()
+    home = _choose(graph, unit(vectors.matrix(true["v"])).astype(np.float32), CLOSURE, REPLICAS, True)
+    ratio, probes = PRUNE, PROBES
+    while ratio <= WIDEST:
+        read = _choose(graph, ask, ratio, probes, False)
+        if np.mean([share[x].sum() for x in read]) >= 1:
+            return None
+        if np.mean([np.isin(h, read[r]).any() for r, h in zip(row, home)]) >= RECALL:
+            return ratio, probes
+        if probes < len(graph.c):
+            probes = min(len(graph.c), probes + max(1, probes // 4))
+        else:
+            ratio *= 1.1
+    return None
+
+
 def nearest(embeddings: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest cosines found for every query.
 
@@ -147,37 +217,43 @@ def nearest(embeddings: DataFrame, k: int = 5) -> DataFrame:
     if not n:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     sample = rows.orderBy(F.xxhash64("vec_id", F.lit(2))).limit(SAMPLE).select("v").toPandas()
-    x = np.unique(unit(vectors.matrix(sample["v"])).astype(np.float32), axis=0)
+    u = unit(vectors.matrix(sample["v"])).astype(np.float32)
+    x = np.unique(u, axis=0)
     lists = max(1, min(MOST_LISTS, len(x) // 8, -(-n // LIST)))
-    graph = Graph(balanced_centroids(x, lists))  # at most MOST_LISTS centroids
+    reach = None
+    if lists > 1:
+        graph = Graph(balanced_centroids(x, lists))  # at most MOST_LISTS centroids
+        u = u[:2_048]  # in the order of a hash: enough for the shares of the lists
+        share = np.bincount(np.concatenate(_choose(graph, u, CLOSURE, REPLICAS, True)), minlength=lists) / len(u)
+        held = rows.where(vectors.is_query()).orderBy(F.xxhash64("vec_id", F.lit(4))).limit(HELD).toPandas()
+        reach = _reach(graph, held, _true(rows, held, k), share) if len(held) else (PRUNE, PROBES)
+    asked = durable(rows.where(vectors.is_query()), "queries")
+    if not reach:
+        return _every(rows, n, asked, k)
     posted = durable(_routed(rows, graph, CLOSURE, REPLICAS, True), "posted")
-    asked = durable(_routed(rows.where(vectors.is_query()), graph, PRUNE, PROBES, False), "asked")
+    found = durable(_searched(posted, durable(_routed(asked, graph, *reach, False), "asked"), F.ceil(F.count("*") / F.lit(BLOCK)), k), "nearest")
+    # lists of few vectors can leave a query short
+    short = durable(asked.join(found.where(F.col("rank") == min(k, n - 1)).select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti"), "short")
+    if short.isEmpty():
+        return found
+    return found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(_every(rows, n, short, k))
+
+
+def _every(rows: DataFrame, n: int, asked: DataFrame, k: int) -> DataFrame:
+    """The k nearest of all n rows for every query asked: exact."""
+    blocks = F.lit(max(-(-n // BLOCK), min(64, -(-n // 256))))
+    return _searched(rows.withColumn("list", F.lit(0)), asked.withColumn("list", F.lit(0)), blocks, k)
+
+
+def _searched(posted: DataFrame, asked: DataFrame, blocks: Column, k: int) -> DataFrame:
     q_size = asked.groupBy("list").agg(F.ceil(F.count("*") / F.lit(QUERY_BLOCK)).cast("int").alias("_qb"))
-    sizes = posted.groupBy("list").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("_vb")).join(q_size, "list")
+    sizes = posted.groupBy("list").agg(blocks.cast("int").alias("_vb")).join(q_size, "list")
     sizes = F.broadcast(durable(sizes, "lists"))  # at most MOST_LISTS rows
     v = vectors.deal(posted, sizes, ["list"], "vb", "qb")
     q = vectors.deal(asked, sizes, ["list"], "qb", "vb")
 
     def search(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "vec_id": [], "score": []}
-        if len(v) and len(q):
-            ids, own = v["vec_id"].to_numpy(), q["vec_id"].to_numpy()
-            order = np.argsort(ids, kind="stable")
-            ids, x = ids[order], vectors.matrix(v["v"])[order]
-            y = vectors.matrix(q["v"])
-            x, y = unit(x), unit(y)
-            for a in range(0, len(y), 256):
-                s = y[a : a + 256] @ x.T
-                s[own[a : a + 256, None] == ids[None, :]] = -np.inf
-                at = vectors.best(s, ids, min(k + 1, len(ids)))
-                got = np.take_along_axis(s, at, 1)
-                keep = np.isfinite(got)
-                # one order of summation for every pair, whatever its block
-                r, c = np.nonzero(keep)
-                out["query_id"].append(own[a + r])
-                out["vec_id"].append(ids[at[r, c]])
-                out["score"].append(_cosine(y[a + r], x[at[r, c]]))
-        return pd.DataFrame({c: np.concatenate(z) if z else [] for c, z in out.items()})
+        return pd.DataFrame(_found(v["vec_id"].to_numpy(), vectors.matrix(v["v"]), q["vec_id"].to_numpy(), vectors.matrix(q["v"]), k))
 
     found = v.groupBy("list", "vb", "qb").cogroup(q.groupBy("list", "vb", "qb")).applyInPandas(search, vectors.TOP.format("double"))
     return vectors.ranked(found, k)

@@ -400,6 +400,24 @@ def test_nearest_recall_and_ties(spark):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind,probes,least", [("independent", 2, 0.9), ("families", 2, 0.9), ("independent", 256, 1)])
+def test_nearest_recall_when_lists_outnumber_probes(spark, monkeypatch, kind, probes, least):
+    monkeypatch.setattr(ann, "LIST", 16)
+    monkeypatch.setattr(ann, "PROBES", probes)
+    n, rng = 3000, np.random.default_rng(11)
+    x = rng.normal(size=(n, 64))
+    if kind == "families":
+        x = rng.normal(size=(8, 64))[rng.integers(0, 8, n)] + 0.5 * x
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id bigint, embedding array<double>").repartition(4)
+    got = {(r["query_id"], r["vec_id"]) for r in ann.nearest(df).collect()}
+    s = u[::50] @ u.T
+    s[np.arange(n // 50), np.arange(0, n, 50)] = -9
+    want = {(50 * q, int(i)) for q, row in enumerate(np.argsort(-s, axis=1)[:, :5]) for i in row}
+    assert len(got) == len(want) == n // 10
+    assert len(got & want) / len(want) >= least
+
+
 def test_top_inner_products_are_exact(spark, monkeypatch):
     monkeypatch.setattr(topk, "SHARD", 200)
     monkeypatch.setattr(topk, "LEAF", 16)
