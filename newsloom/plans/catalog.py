@@ -715,6 +715,11 @@ def dat4_placeholder(spark, sf_dir):
     return h.select("article_id", rules.placeholder_stamp(F.col("published_at")).alias("date_only"))
 
 
+@query("SELECT article_id, strftime(published_at, '%H:%M:%S') = '00:00:00' OR strftime(timezone('America/Los_Angeles', timezone('UTC', published_at)), '%H:%M:%S') = '00:00:00' AS date_only FROM v_headline")
+def dat4_placeholder_every(spark, sf_dir):
+    return A.headline(spark, sf_dir).select("article_id", rules.placeholder_stamp(F.col("published_at")).alias("date_only"))
+
+
 @query("""WITH l AS (SELECT max(date) AS m FROM v_price), t AS (SELECT unnest([1, 3, 6, 12]) AS months)
 SELECT CAST(months AS INTEGER) AS months, count(date) AS n, round(avg(close), 6) AS mean FROM t CROSS JOIN l JOIN v_price ON date >= CAST(m - to_months(CAST(months AS INTEGER)) AS DATE) GROUP BY 1""")
 def dat6_timeframes(spark, sf_dir):

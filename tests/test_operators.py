@@ -1,5 +1,6 @@
 """Scalar goldens, order-dependent operators against plain versions, funnels."""
 
+import hashlib
 import math
 import random
 
@@ -8,8 +9,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from newsloom import adapters as A
 from newsloom.functions import maths, rules, text
 from newsloom.operators import grouping, reaction, risk, sentiment, store, windows
+from newsloom.plans import catalog
 
 
 def one(spark, *columns):
@@ -256,3 +259,10 @@ def test_stream_equals_batch(spark, small, tmp_path):
     a = spark.table("tumbled").toPandas().sort_values(key).reset_index(drop=True)
     b = batch.toPandas().sort_values(key).reset_index(drop=True)
     pd.testing.assert_frame_equal(a, b)
+
+
+def test_placeholders_of_the_whole_table(spark, small):
+    got = catalog.QUERIES["dat4_placeholder_every"](spark, small)
+    assert got.count() == A.headline(spark, small).count()
+    at = spark.sql("select explode(array(timestamp'2024-01-10 08:00:00', timestamp'2024-07-10 07:00:00', timestamp'2024-07-10 08:00:00')) as at")
+    assert [r[0] for r in at.select(rules.placeholder_stamp(F.col("at"))).collect()] == [True, True, False]
