@@ -340,6 +340,30 @@ def jn15_evidence_pool(spark, sf_dir):
     return near.groupBy(F.col("p").alias("article_id")).agg(F.count("*").alias("pool"), F.min(F.abs(F.col("s") - F.col("ps"))).alias("nearest_s"))
 
 
+@query("""WITH h AS (SELECT article_id, ticker, CAST(epoch(published_at) AS BIGINT) AS s FROM v_headline WHERE NOT is_demo)
+SELECT p.article_id, count(*) AS pool, CAST(min(abs(c.s - p.s)) AS BIGINT) AS nearest_s FROM h p JOIN h c ON c.ticker = p.ticker AND c.article_id <> p.article_id AND c.s BETWEEN p.s - 30 * 86400 AND p.s + 14 * 86400 GROUP BY 1""")
+def jn15_evidence_pool_every(spark, sf_dir):
+    """Pools of all articles as differences of running counts by ticker and day, so no
+    pair of articles is a row. One row per article_id is taken as given."""
+    day, back, ahead = 86400, 30 * 86400, 14 * 86400
+    h = A.headline(spark, sf_dir).where("not is_demo and article_id is not null and ticker is not null").select("article_id", "ticker", _second("published_at").alias("s"))
+    mark = lambda at, own, sign: F.struct(at.alias("at"), F.lit(own).alias("own"), F.lit(sign).alias("sign"))
+    marks = h.select("article_id", "ticker", F.inline(F.array(mark(F.col("s"), 1, 0), mark(F.col("s") + ahead, 0, 1), mark(F.col("s") - back - 1, 0, -1)))).withColumn("_b", F.floor(F.col("at") / day))
+    own = F.when(F.col("own") == 1, F.col("at"))
+    days = marks.groupBy("ticker", "_b").agg(F.sum("own").alias("n"), F.min(own).alias("lo"), F.max(own).alias("hi"))
+    earlier = Window.partitionBy("ticker").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy("ticker").orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select("ticker", "_b", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), F.max("hi").over(earlier).alias("last"), F.min("lo").over(later).alias("next"))
+    # articles of a second come before the bounds that fall on it
+    within = Window.partitionBy("ticker", "_b").orderBy("at", F.desc("own")).rowsBetween(Window.unboundedPreceding, 0)
+    beside = Window.partitionBy("ticker", "_b", "own").orderBy("at", "article_id")
+    marks = marks.withColumn("run", F.sum("own").over(within)).withColumn("p", F.lag("at").over(beside)).withColumn("q", F.lead("at").over(beside)).join(days, ["ticker", "_b"])
+    p, q = F.col("at") - F.coalesce("p", "last"), F.coalesce("q", "next") - F.col("at")
+    nearest = F.when(F.col("own") == 1, F.least(F.when(p <= back, p), F.when(q <= ahead, q)))
+    out = marks.groupBy("article_id").agg((F.sum(F.col("sign") * (F.col("before") + F.col("run"))) - 1).alias("pool"), F.min(nearest).alias("nearest_s"))
+    return out.where("pool > 0")
+
+
 @query("SELECT article_id, len(list_filter(ids, lambda x: x % 2 = 0)) AS cited FROM (SELECT article_id, [article_id, article_id + 1, article_id // 2] AS ids FROM v_headline)")
 def jn16_cited_references(spark, sf_dir):
     ids = F.array(F.col("article_id"), F.col("article_id") + 1, F.expr("article_id div 2"))
@@ -701,6 +725,12 @@ def hsh2_evidence_fingerprint(spark, sf_dir):
     return A.headline(spark, sf_dir).where("article_id % 10 = 0").groupBy("ticker").agg(text.evidence_fingerprint(ids).alias("fingerprint"))
 
 
+@query("SELECT ticker, left(sha256(string_agg(CAST(article_id AS VARCHAR), '|' ORDER BY article_id)), 32) AS fingerprint FROM v_headline GROUP BY 1")
+def hsh2_evidence_fingerprint_every(spark, sf_dir):
+    ids = F.transform(F.array_sort(F.collect_list("article_id")), lambda x: x.cast("string"))
+    return A.headline(spark, sf_dir).groupBy("ticker").agg(text.evidence_fingerprint(ids).alias("fingerprint"))
+
+
 # --- dates and numbers ----------------------------------------------------------------
 
 

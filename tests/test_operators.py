@@ -266,3 +266,19 @@ def test_placeholders_of_the_whole_table(spark, small):
     assert got.count() == A.headline(spark, small).count()
     at = spark.sql("select explode(array(timestamp'2024-01-10 08:00:00', timestamp'2024-07-10 07:00:00', timestamp'2024-07-10 08:00:00')) as at")
     assert [r[0] for r in at.select(rules.placeholder_stamp(F.col("at"))).collect()] == [True, True, False]
+
+
+def test_evidence_of_every_article(spark, small):
+    h = [(r[0], r[1], int(r[2].timestamp())) for r in A.headline(spark, small).where("not is_demo").select("article_id", "ticker", "published_at").collect()]
+    want = {}
+    for a, t, s in h:
+        far = [abs(x - s) for b, u, x in h if b != a and u == t and s - 30 * 86400 <= x <= s + 14 * 86400]
+        if far:
+            want[a] = (len(far), min(far))
+    got = {r[0]: (r[1], r[2]) for r in catalog.QUERIES["jn15_evidence_pool_every"](spark, small).collect()}
+    assert got == want and any(a % 10 for a in got)
+    every = catalog.QUERIES["hsh2_evidence_fingerprint_every"](spark, small).collect()
+    ids = {}
+    for r in A.headline(spark, small).select("article_id", "ticker").collect():
+        ids.setdefault(r[1], []).append(r[0])
+    assert {r[0]: r[1] for r in every} == {t: hashlib.sha256("|".join(map(str, sorted(x))).encode()).hexdigest()[:32] for t, x in ids.items()}
