@@ -305,28 +305,28 @@ paths AS (SELECT b.idx, h.h, t.close / z.close - 1 AS raw_return, (t.close / z.c
 """
 
 
-def _paths(spark, sf_dir):
+def _paths(spark, sf_dir, base="idx % 7 = 0"):
     s = A.session(spark, sf_dir)
     p = reaction.aligned_prices(A.price(spark, sf_dir), s)
-    return reaction.forward_paths(s.where("idx % 7 = 0"), p)
+    return reaction.forward_paths(s.where(base), p)
 
 
 @query(_PATHS + "SELECT idx, CAST(h AS INTEGER) AS h, round(raw_return, 6) AS raw_return, round(adjusted_return, 6) AS adjusted_return FROM paths")
-def jn14_forward_returns(spark, sf_dir):
-    return _paths(spark, sf_dir).select("idx", "h", r6("raw_return").alias("raw_return"), r6("adjusted_return").alias("adjusted_return"))
+def jn14_forward_returns(spark, sf_dir, base="idx % 7 = 0"):
+    return _paths(spark, sf_dir, base).select("idx", "h", r6("raw_return").alias("raw_return"), r6("adjusted_return").alias("adjusted_return"))
 
 
 @query(_PATHS + "SELECT idx, count(*) = 11 AS resolved, round(sum(adjusted_return) FILTER (h <= 5), 6) AS sum_5 FROM paths GROUP BY 1")
-def win15_paths(spark, sf_dir):
-    c = reaction.complete_paths(_paths(spark, sf_dir))
+def win15_paths(spark, sf_dir, base="idx % 7 = 0"):
+    c = reaction.complete_paths(_paths(spark, sf_dir, base))
     five = F.aggregate(F.filter(F.slice("path", 1, 6), lambda x: x.isNotNull()), F.lit(0.0), lambda a, x: a + x)
     none = F.forall(F.slice("path", 1, 6), lambda x: x.isNull())
     return c.select("idx", "resolved", r6(F.when(~none, five)).alias("sum_5"))
 
 
 @query(_PATHS + ", st AS (SELECT idx, abs(raw_return - coalesce(lag(raw_return) OVER (PARTITION BY idx ORDER BY h), 0)) AS s FROM paths) SELECT idx, round(max(s), 6) AS largest_step, max(s) > 0.25 AS extreme FROM st GROUP BY 1")
-def win16_extreme_moves(spark, sf_dir):
-    return reaction.extreme_moves(_paths(spark, sf_dir)).select("idx", r6("largest_step").alias("largest_step"), "extreme")
+def win16_extreme_moves(spark, sf_dir, base="idx % 7 = 0"):
+    return reaction.extreme_moves(_paths(spark, sf_dir, base)).select("idx", r6("largest_step").alias("largest_step"), "extreme")
 
 
 @query("""WITH h AS (SELECT article_id, ticker, CAST(epoch(published_at) AS BIGINT) AS s FROM v_headline WHERE NOT is_demo)
@@ -449,45 +449,45 @@ def cls24_regimes(spark, sf_dir):
 
 
 @query(_PATHS + "SELECT CAST(h AS INTEGER) AS h, count(*) AS n, round(avg(adjusted_return), 6) AS mean, round(median(adjusted_return), 6) AS median, round(avg(CAST(adjusted_return > 0 AS INTEGER)), 6) AS share_positive FROM paths GROUP BY 1")
-def agg8_return_summary(spark, sf_dir):
-    s = reaction.return_summary(_paths(spark, sf_dir), ["h"], "adjusted_return")
+def agg8_return_summary(spark, sf_dir, base="idx % 7 = 0"):
+    s = reaction.return_summary(_paths(spark, sf_dir, base), ["h"], "adjusted_return")
     return s.select("h", "n", r6("mean").alias("mean"), r6("median").alias("median"), r6("share_positive").alias("share_positive"))
 
 
 @query(_PATHS + ", x AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY idx) AS r, count(*) OVER (PARTITION BY h) AS n FROM paths) SELECT CAST(h AS INTEGER) AS h, round(avg(adjusted_return) FILTER (r <= n // 2), 6) AS first_half, round(avg(adjusted_return) FILTER (r > n // 2), 6) AS second_half FROM x GROUP BY 1")
-def agg9_split_half(spark, sf_dir):
-    return reaction.split_half(_paths(spark, sf_dir), ["h"], "idx", "adjusted_return").select("h", r6("first_half").alias("first_half"), r6("second_half").alias("second_half"))
+def agg9_split_half(spark, sf_dir, base="idx % 7 = 0"):
+    return reaction.split_half(_paths(spark, sf_dir, base), ["h"], "idx", "adjusted_return").select("h", r6("first_half").alias("first_half"), r6("second_half").alias("second_half"))
 
 
 @query(_PATHS + """, y AS (SELECT h, rank() OVER (PARTITION BY h ORDER BY raw_return) + (count(*) OVER (PARTITION BY h, raw_return) - 1) / 2 AS a, rank() OVER (PARTITION BY h ORDER BY adjusted_return) + (count(*) OVER (PARTITION BY h, adjusted_return) - 1) / 2 AS b FROM paths)
 SELECT CAST(h AS INTEGER) AS h, count(*) AS n, CASE WHEN count(*) >= 100 THEN round(corr(a, b), 6) END AS rho FROM y GROUP BY 1""")
-def agg10_spearman(spark, sf_dir):
-    return reaction.spearman(_paths(spark, sf_dir), ["h"], "raw_return", "adjusted_return").select("h", "n", r6("rho").alias("rho"))
+def agg10_spearman(spark, sf_dir, base="idx % 7 = 0"):
+    return reaction.spearman(_paths(spark, sf_dir, base), ["h"], "raw_return", "adjusted_return").select("h", "n", r6("rho").alias("rho"))
 
 
 @query(None)
-def num1_student_t(spark, sf_dir):
-    return reaction.intervals(_paths(spark, sf_dir), ["h"], "adjusted_return").select("h", "n", r6("low").alias("low"), r6("high").alias("high"))
+def num1_student_t(spark, sf_dir, base="idx % 7 = 0"):
+    return reaction.intervals(_paths(spark, sf_dir, base), ["h"], "adjusted_return").select("h", "n", r6("low").alias("low"), r6("high").alias("high"))
 
 
 @query(None)
-def num2_percentile_bootstrap(spark, sf_dir):
-    return reaction.intervals(_paths(spark, sf_dir), ["h"], "adjusted_return", "percentile").select("h", "n", r6("low").alias("low"), r6("high").alias("high"))
+def num2_percentile_bootstrap(spark, sf_dir, base="idx % 7 = 0"):
+    return reaction.intervals(_paths(spark, sf_dir, base), ["h"], "adjusted_return", "percentile").select("h", "n", r6("low").alias("low"), r6("high").alias("high"))
 
 
 @query(None)
-def num3_bootstrap_t(spark, sf_dir):
-    return reaction.intervals(_paths(spark, sf_dir), ["h"], "adjusted_return", "bootstrap_t").select("h", "n", r6("low").alias("low"), r6("high").alias("high"))
+def num3_bootstrap_t(spark, sf_dir, base="idx % 7 = 0"):
+    return reaction.intervals(_paths(spark, sf_dir, base), ["h"], "adjusted_return", "bootstrap_t").select("h", "n", r6("low").alias("low"), r6("high").alias("high"))
 
 
 @query(None)
-def num4_bca(spark, sf_dir):
-    return reaction.intervals(_paths(spark, sf_dir), ["h"], "adjusted_return", "bca").select("h", "n", r6("low").alias("low"), r6("high").alias("high"))
+def num4_bca(spark, sf_dir, base="idx % 7 = 0"):
+    return reaction.intervals(_paths(spark, sf_dir, base), ["h"], "adjusted_return", "bca").select("h", "n", r6("low").alias("low"), r6("high").alias("high"))
 
 
 @query(None)
-def cls26_evidence_state(spark, sf_dir):
-    p = _paths(spark, sf_dir)
+def cls26_evidence_state(spark, sf_dir, base="idx % 7 = 0"):
+    p = _paths(spark, sf_dir, base)
     m = reaction.return_summary(p, ["h"], "adjusted_return").join(reaction.split_half(p, ["h"], "idx", "adjusted_return"), "h").join(reaction.intervals(p, ["h"], "adjusted_return").select("h", "low", "high"), "h")
     return m.select("h", "n", reaction.evidence_state(F.col("n"), F.col("low"), F.col("high"), F.col("mean"), F.col("median"), F.col("first_half"), F.col("second_half")).alias("state"))
 
@@ -800,3 +800,18 @@ def mth8_labels(spark, sf_dir):
 def mth9_softmax(spark, sf_dir):
     a = A.analysis(spark, sf_dir)
     return a.select("article_id", r6(F.element_at(maths.softmax(F.array("magnitude", "confidence", F.lit(0.0))), 1)).alias("p"))
+
+
+# --- paths from every session ---------------------------------------------------------
+
+
+def _from_every_session(f: Query) -> None:
+    """The query over the paths of all sessions, beside that of each seventh."""
+    name = f"{f.__name__}_every"
+    QUERIES[name] = lambda spark, sf_dir: f(spark, sf_dir, "true")
+    if f.__name__ in SQL:
+        SQL[name] = SQL[f.__name__].replace(" WHERE idx % 7 = 0", "")
+
+
+for _f in (jn14_forward_returns, win15_paths, win16_extreme_moves, agg8_return_summary, agg9_split_half, agg10_spearman, num1_student_t, num2_percentile_bootstrap, num3_bootstrap_t, num4_bca, cls26_evidence_state):
+    _from_every_session(_f)

@@ -282,3 +282,13 @@ def test_evidence_of_every_article(spark, small):
     for r in A.headline(spark, small).select("article_id", "ticker").collect():
         ids.setdefault(r[1], []).append(r[0])
     assert {r[0]: r[1] for r in every} == {t: hashlib.sha256("|".join(map(str, sorted(x))).encode()).hexdigest()[:32] for t, x in ids.items()}
+
+
+def test_paths_from_every_session(spark, small):
+    s = [r[0] for r in A.session(spark, small).select("idx").collect()]
+    priced = {r[0] for r in A.price(spark, small).join(A.session(spark, small), "date").select("idx").collect()}
+    want = {(i, h) for i in s for h in range(11) if i - 1 in priced and i + h in priced}
+    got = {(r["idx"], r["h"]) for r in catalog.QUERIES["jn14_forward_returns_every"](spark, small).where("raw_return is not null").collect()}
+    assert got == want and any(i % 7 for i, _ in got)
+    n = {r["h"]: r["n"] for r in catalog.QUERIES["agg8_return_summary_every"](spark, small).collect()}
+    assert n == {h: sum(g == h for _, g in want) for h in n}
