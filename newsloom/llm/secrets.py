@@ -29,13 +29,17 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "jwt", "der", "ssh", "pem", "hexder")
 _ORDER = {k: i for i, k in enumerate(KINDS)}
 
-_JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
+# a JSON object starts with "{" or white space, which base64 begins with "ey", "ew", "I", "C" or "D"
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])(?:e[yw]|[ICD][A-Za-z0-9_-])[A-Za-z0-9_-]{9,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 # DER sequences start with byte 0x30 ("M" in base64), SSH blobs with a 4-byte
 # length below 256 and "ssh-" or "ecdsa-" ("AAAA")
 _B64 = re.compile(r"(?<![A-Za-z0-9+/])(?:M[A-Za-z0-9+/]{23,}|AAAA[A-Za-z0-9+/]{28,})={0,2}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s]{16,}?)-----END \1-----")
-_ANY = re.compile(r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]{14}|[0-9a-f]{16}|eyJ|M[A-Za-z0-9+/]{23}|AAAA[A-Za-z0-9+/]{28}|-----BEGIN", re.A)
-_ANY_RE2 = r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]{14}|[0-9a-f]{16}|eyJ|M[A-Za-z0-9+/]{23}|AAAA[A-Za-z0-9+/]{28}|-----BEGIN"
+# the same and "openssh-key" ("b3Bl") in the URL-safe alphabet or over several lines
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/])(?:M|AAAA|b3Bl)[A-Za-z0-9+/_-]{15,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)*={0,2}")
+_WRAPPED_HEX = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{14,}(?:\r?\n[ \t]*[0-9A-Fa-f]+)*")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----((?:\s*[A-Za-z][A-Za-z0-9-]*:[^\n]*\n)*)([A-Za-z0-9+/=\s]{16,}?)-----END \1-----")
+_ANY_RE2 = r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]{14}|[0-9a-f]{16}|30[0-9A-Fa-f]{14}|(?:e[yw]|[ICD][A-Za-z0-9_-])[A-Za-z0-9_-]{9,}\.[A-Za-z0-9_-]{2}|(?:M|AAAA|b3Bl)[A-Za-z0-9+/_-]{15}|-----BEGIN"
+_ANY = re.compile(_ANY_RE2, re.A)
 
 
 def _der_length(data: bytes, at: int) -> tuple[int, int] | None:
@@ -101,6 +105,27 @@ def is_ssh_key(data: bytes) -> bool:
     return at == len(data) and len(fields) >= 2 and re.match(rb"(ssh-|ecdsa-|sk-)[a-z0-9@.-]+$", fields[0]) is not None
 
 
+def is_openssh_key(data: bytes) -> bool:
+    """openssh-key-v1: cipher, kdf, its options, the public keys and the private
+    block as length-prefixed fields to the end."""
+    magic = b"openssh-key-v1\0"
+    if not data.startswith(magic):
+        return False
+    fields, at, left = [], len(magic), 3
+    while left:
+        n = int.from_bytes(data[at : at + 4], "big")
+        if at + 4 + n > len(data):
+            return False
+        fields.append(data[at + 4 : at + 4 + n])
+        at, left = at + 4 + n, left - 1
+        if len(fields) == 3:
+            keys = int.from_bytes(data[at : at + 4], "big")
+            if not 1 <= keys <= 64:
+                return False
+            at, left = at + 4, keys + 1
+    return at == len(data) and len(fields[0]) > 0 and all(map(is_ssh_key, fields[3:-1])) and len(fields[-1]) >= 8
+
+
 def _unbase64(text: str) -> bytes | None:
     body = re.sub(r"\s+", "", text).rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
@@ -133,9 +158,45 @@ def base_spans(text: str) -> list[Span]:
     return out + [("hex", *m.span()) for m in HEX.finditer(text)]
 
 
+def _line_ends(run: str, unit: int) -> Iterator[tuple[str, int]]:
+    """The run without line breaks up to the ends of its lines, with their places. A
+    DER run stops at the line that reaches the length its head states; ``unit`` is 3 for
+    base64 and 1 for hex."""
+    decode, size = (_unbase64, 4 / 3) if unit == 3 else (bytes.fromhex, 2)
+    der, got, need = run[0] in "M3", "", 0
+    if not der and not re.match(rb"\0\0\0.(ssh-|ecdsa|sk-)|openssh-k", _unbase64(run[:12]) or b"", re.S):
+        return
+    for m in re.finditer(r"\S+", run):
+        got += m[0]
+        if der and not need:
+            head = _der_length(decode(got[:12]) or b"", 1)
+            if head is None:
+                return
+            need = sum(head) * size
+        if len(got.rstrip("=")) >= need:
+            yield got, m.end()
+            if der:
+                return
+
+
+def _wrapped_spans(text: str) -> Iterator[Span]:
+    """Keys in either base64 alphabet or hex of either case, also over several lines."""
+    for pattern, unit in ((_WRAPPED, 3), (_WRAPPED_HEX, 1)):
+        at = 0
+        while m := pattern.search(text, at):
+            at = m.start() + len(m[0].split("\n", 1)[0])  # a later line can start a key as well
+            for body, end in _line_ends(m[0], unit):
+                data = _unbase64(body) if unit == 3 else bytes.fromhex(body) if len(body) % 2 == 0 else None
+                kind = data and ("der" if is_der_key(data) else "ssh" if is_ssh_key(data) or is_openssh_key(data) else None)
+                if kind:
+                    at = m.start() + end
+                    yield kind if unit == 3 else "hexder", m.start(), at
+                    break
+
+
 def confirmed_spans(text: str) -> list[Span]:
     """Candidates whose decoded structure proves a key or signed token."""
-    out = [("jwt", *m.span()) for m in _JWT.finditer(text) if is_signed_token(m[0])] if "eyJ" in text else []
+    out = [("jwt", *m.span()) for m in _JWT.finditer(text) if is_signed_token(m[0])]
     for m in _B64.finditer(text):
         data = _unbase64(m[0])
         if data and is_der_key(data):
@@ -144,13 +205,15 @@ def confirmed_spans(text: str) -> list[Span]:
             out.append(("ssh", *m.span()))
     if "-----BEGIN" in text:
         for m in _PEM.finditer(text):
-            data = _unbase64(m[2])
-            if data and (is_der_key(data) or data.startswith(b"openssh-key-v1\0")):
+            data = _unbase64(m[3])
+            # an encrypted body, which its header lines state, has no structure to parse
+            if data and (is_der_key(data) or is_openssh_key(data) or "ENCRYPTED" in m[2]):
                 out.append(("pem", *m.span()))
     for m in HEX.finditer(text):
         if len(m[0]) >= 32 and len(m[0]) % 2 == 0 and m[0].startswith("30") and is_der_key(bytes.fromhex(m[0])):
             out.append(("hexder", *m.span()))
-    return out
+    known = {x[:2] for x in out}
+    return out + [x for x in _wrapped_spans(text) if x[:2] not in known]
 
 
 def scan(text: str) -> tuple[list[Span], list[Span]]:

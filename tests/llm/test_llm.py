@@ -361,6 +361,32 @@ def test_structures_are_confirmed():
     assert secrets.redact("ab token=abcdefghijklmnop cd", secrets.scan("ab token=abcdefghijklmnop cd")[1]) == "ab [secret] cd"
 
 
+def test_structures_in_other_spellings_are_confirmed():
+    b64 = lambda b: base64.b64encode(b).decode()
+    url = lambda b: base64.urlsafe_b64encode(b).decode().rstrip("=")
+    fold = lambda t: "\n".join(t[i : i + 64] for i in range(0, len(t), 64))
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    key = _der(0x30, _der(2, b"\0"), _der(2, bytes([0x7B, 0xEF, 0xFF]) * 43), _der(2, b"\1\0\1"))
+    public = field(b"ssh-rsa") + field(b"\1\0\1") + field(b"\0" + bytes([7]) * 64)
+    openssh = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(public) + field(bytes(80))
+    found = lambda t: [(k, t[a:b]) for k, a, b in secrets.confirmed_spans(t)]
+    for header in (b'{ "alg": "HS256"}', b'{\n "alg": "HS256"\n}', b' {"alg": "HS256"}'):
+        token = f"{url(header)}.{url(b'{}')}.{url(bytes(32))}"
+        assert found(f"t {token} x") == [("jwt", token)] and secrets.scan(f"t {token} x")[1]
+    assert url(key) != b64(key).rstrip("=")
+    for text in (fold(b64(key)), url(key), fold(url(key))):
+        assert found(f"k {text}\nword") == [("der", text)] and secrets.scan(f"k {text}\nword")[1]
+    for text in (key.hex().upper(), fold(key.hex()), fold(key.hex().upper())):
+        assert found(f"h {text}\nword") == [("hexder", text)]
+    assert found("k " + fold(b64(public))) == [("ssh", fold(b64(public)))]
+    pem = lambda kind, head, body: f"-----BEGIN {kind}-----\n{head}{fold(b64(body))}\n-----END {kind}-----"
+    locked = pem("RSA PRIVATE KEY", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n", bytes(range(96)))
+    assert ("pem", locked) in found(locked)
+    assert "pem" in dict(found(pem("OPENSSH PRIVATE KEY", "", openssh)))
+    assert "pem" not in dict(found(pem("OPENSSH PRIVATE KEY", "", openssh[:-1])))
+    assert found("k " + fold(b64(key[:-1]))) == []
+
+
 def test_secrets_awkward(awkward, empty):
     got = secrets.find_secrets(awkward).collect()
     assert len(got) == len(AWKWARD) and all(r["spans"] == "" for r in got)
