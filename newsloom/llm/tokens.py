@@ -2,9 +2,14 @@
 
 The byte-level pre-tokenizer always starts a new piece at a space or line feed
 that follows a non-space character, so a text may be cut there, equal pieces may
-be encoded once per batch, and the ids put together again. Texts with any other
-white space, or two in a row, are encoded as they are. The result equals
-``encode(text, add_special_tokens=False)`` id for id.
+be encoded once, and the ids put together again. Texts with any other white space,
+two blanks in a row or the string of an added token are encoded as they are, a
+stretch at a time. The result equals ``encode(text, add_special_tokens=False)`` of the
+tokenizer as its file gives it, id for id; a text that spells an added token gets
+that token's id, as in the plain call.
+
+Batches are small and only the ids of an encoding are held, so memory follows the
+batch and the longest text.
 """
 
 from __future__ import annotations
@@ -12,6 +17,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,6 +30,8 @@ _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _UNUSUAL = "[\\x00-\\x09\\x0b-\\x1f\\x7f-\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200f}\\x{2028}-\\x{202f}\\x{205f}\\x{3000}\\x{feff}]|[ \\n][ \\n]"
 _BATCH_BYTES = 8 << 20
 _JOIN = 512
+_STRETCH = 1 << 18  # characters that the library encodes at a time
+_SEAM = re.compile("[A-Za-z] ")
 _LETTERS = "^[A-Za-z\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{ff}]+$"
 
 
@@ -49,7 +57,6 @@ def load(path: str):
 
     t = Tokenizer.from_file(path)
     words = Tokenizer(t.model)  # shares the vocabulary
-    t.encode_special_tokens = words.encode_special_tokens = True  # their strings inside a text are ordinary text
     words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
     vocab = t.get_vocab(with_added_tokens=True)
     opens = np.zeros(max(vocab.values()) + 1, bool)
@@ -58,15 +65,46 @@ def load(path: str):
     return t, words, opens
 
 
+@functools.lru_cache(maxsize=2)
+def _added(path: str) -> str:
+    """A pattern of the strings that the tokenizer takes for added tokens."""
+    return "|".join(re.escape(x.content) for x in load(path)[0].get_added_tokens_decoder().values())
+
+
 def _each(t, texts: list[str]) -> list[np.ndarray]:
-    return [np.array(e.ids, np.uint32) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+    """The ids of every text; encodings are let go a stretch at a time."""
+    out, start, size = [], 0, 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size > _STRETCH or i + 1 == len(texts):
+            out += [np.array(e.ids, np.uint32) for e in t.encode_batch_fast(texts[start : i + 1], add_special_tokens=False)]
+            start, size = i + 1, 0
+    return out
+
+
+def _long(t, text: str) -> np.ndarray:
+    """The ids of one text of any length, cut before blanks that follow a letter: a
+    piece always ends there, and no added token holds a letter and then a blank."""
+    parts, at = [], 0
+    while len(text) - at > 2 * _STRETCH and (m := _SEAM.search(text, at + _STRETCH)):
+        parts.append(text[at : m.end() - 1])
+        at = m.end() - 1
+    ids = [_each(t, [x])[0] for x in [*parts, text[at:]]]
+    return ids[0] if len(ids) == 1 else np.concatenate(ids)
+
+
+def _as_they_are(path: str, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(flat ids, begin and size of each) of texts with nothing before them."""
+    ids = _each(load(path)[0], words.to_pylist())
+    size = np.array([len(x) for x in ids], np.int64)
+    return np.concatenate([np.zeros(0, np.uint32), *ids]), np.cumsum(size) - size, size
 
 
 def _joined(t, opens: np.ndarray, words: list[str], glue: str) -> tuple[np.ndarray, np.ndarray]:
     """(flat ids, ids per word) of words that each begin with white space."""
     flat, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
     groups = [words[i : i + _JOIN] for i in range(0, len(words), _JOIN)]
-    for part, ids in zip(groups, (x for g in range(0, len(groups), 64) for x in _each(t, [glue.join(w) for w in groups[g : g + 64]]))):
+    for part, ids in zip(groups, _each(t, [glue.join(w) for w in groups])):
         at = np.flatnonzero(opens[ids])
         if len(at) != len(part) or at[0] != 0:
             own = _each(t, part)
@@ -120,6 +158,8 @@ def _encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     t = load(path)[0]
     n = len(texts)
     odd = pc.match_substring_regex(texts, _UNUSUAL).to_numpy(zero_copy_only=False)
+    if _added(path):
+        odd = odd | pc.match_substring_regex(texts, _added(path)).to_numpy(zero_copy_only=False)
     plain = texts.filter(pa.array(~odd)) if odd.any() else texts
     split = pc.split_pattern(pc.replace_substring(plain, "\n", " \n"), " ")
     offsets = split.offsets.to_numpy().astype(np.int64)
@@ -133,26 +173,20 @@ def _encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     flat, begin, sizes = _pieces(path, stem.dictionary)
     own = stem.indices.to_numpy()
     begin, sizes = begin[own], sizes[own]
-    parts, used = [flat], len(flat)
-    mark = np.full(len(words.dictionary), -1, np.int64)
+    # marks and the first pieces of texts have no white space before them
+    first = offsets[:-1]
+    heads, back = np.unique(code[first], return_inverse=True)
     tails = pc.replace_substring_regex(words.dictionary.filter(pa.array(marked)), r"(?s)^.*[\pL\pN]", "").dictionary_encode()
+    mark = np.full(len(words.dictionary), -1, np.int64)
     mark[marked] = tails.indices.to_numpy()
-    ids = _each(t, tails.dictionary.to_pylist())
-    m_size = np.array([len(x) for x in ids], np.int64)
-    m_begin = used + np.cumsum(m_size) - m_size
-    parts += ids
-    used += int(m_size.sum())
-    # the first piece of a text has no white space before it
-    first = offsets[:-1]
+    alone, b_begin, b_size = _as_they_are(path, pa.concat_arrays([tails.dictionary, words.dictionary.take(pa.array(heads))]))
+    used = len(flat)
+    m_begin, m_size = b_begin[: len(tails.dictionary)] + used, b_size[: len(tails.dictionary)]
     at, size = begin[code], sizes[code]
     if len(first):
-        heads, back = np.unique(code[first], return_inverse=True)
-        ids = _each(t, words.dictionary.take(pa.array(heads)).to_pylist())
-        n_head = np.array([len(x) for x in ids], np.int64)
-        s_head = used + np.cumsum(n_head) - n_head
-        parts += ids
-        used += int(n_head.sum())
-        at[first], size[first] = s_head[back], n_head[back]
+        at[first], size[first] = (b_begin[len(tails.dictionary) :] + used)[back], b_size[len(tails.dictionary) :][back]
+    parts = [flat, alone]
+    used += len(alone)
     # marks follow their words; the mark of a first piece is part of its own ids
     with_mark = mark[code] >= 0
     with_mark[first] = False
@@ -170,7 +204,7 @@ def _encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     totals = np.add.reduceat(size, first + np.arange(len(first))) if len(first) else np.zeros(0, np.int64)
     if not odd.any():
         return flat, totals
-    whole = _each(t, texts.filter(pa.array(odd)).to_pylist())
+    whole = [_long(t, x) for x in texts.filter(pa.array(odd)).to_pylist()]
     out, counts = [], np.zeros(n, np.int64)
     counts[~odd] = totals
     cut = np.append(0, np.cumsum(totals))
