@@ -1,16 +1,17 @@
 """Best-fit packing of token sequences by exact-complement hashing.
 
 Only the length histogram (at most ``capacity`` rows, whatever the corpus) goes to
-the driver. The planner indexes the sums of single, pair and triple lengths and,
-from the longest length down, consumes every combination that fills the rest of a
-sequence exactly, as often as the counts allow; what is left is packed best-fit
-decreasing. The plan maps (length, rank) ranges to (sequence, offset); rows get
+the driver. The planner keeps a hash index from every sum to the single lengths, pairs
+and triples that have it and, from the longest length down, looks up the complement of
+what is placed and consumes combinations that fill it exactly, as often as the counts
+allow; what is left is packed best-fit decreasing. The plan maps (length, rank) ranges to (sequence, offset); rows get
 their rank within a length by a two-level count over hashed buckets, so a length
 that holds a third of all rows is still dealt over every bucket.
 """
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -56,6 +57,60 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, with_ids: bool = Fals
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+class Sums:
+    """Hash index from a sum to the single lengths, pairs and triples of lengths that
+    have it, under the counts that are left.
+
+    Pairs are indexed at once: every sum has its list of larger halves. The triples of a
+    sum are the lengths whose complement has pairs; that list is made when the sum is
+    first asked for. Counts only fall, so an entry that is used up is dropped for good.
+    """
+
+    def __init__(self, left: np.ndarray):
+        self.left = left
+        capacity = len(left) - 1
+        self.lengths = np.flatnonzero(left)
+        pairs: dict[int, list[np.ndarray]] = {}
+        for small in self.lengths:  # at most ``capacity`` lengths; a pair may use one twice
+            large = self.lengths[(self.lengths >= small) & (self.lengths <= capacity - small)]
+            for total, b in zip((large + small).tolist(), large.tolist()):
+                pairs.setdefault(total, []).append(b)
+        for halves in pairs.values():
+            halves.sort(reverse=True)  # the evenest pair is taken first, from the end
+        self.pairs = pairs
+        self.triples: dict[int, list[int]] = {}
+
+    def single(self, total: int) -> tuple[int, ...] | None:
+        return (total,) if total > 0 and self.left[total] else None
+
+    def pair(self, total: int, keep: int = 0) -> tuple[int, ...] | None:
+        """``keep``: a length of which one must stay for the caller."""
+        halves = self.pairs.get(total, [])
+        while halves:
+            b = halves[-1]
+            c = total - b
+            if self.left[b] and self.left[c] and (b != c or self.left[b] > 1):
+                break
+            halves.pop()
+        for b in reversed(halves):
+            c = total - b
+            need = (b == keep) + (c == keep) + 1 if keep else 0
+            if self.left[b] and self.left[c] and (b != c or self.left[b] > 1) and (not keep or self.left[keep] >= need):
+                return (b, c)
+        return None
+
+    def triple(self, total: int) -> tuple[int, ...] | None:
+        if total not in self.triples:
+            self.triples[total] = [d for d in self.lengths.tolist() if self.pairs.get(total - d)]
+        firsts = self.triples[total]
+        while firsts:
+            d = firsts[-1]
+            if self.left[d] and (p := self.pair(total - d, d)):
+                return (d, *p)
+            firsts.pop()
+        return None
+
+
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (lengths summing to at most capacity, longest first) and how many
     sequences follow each; together they use every count exactly."""
@@ -65,20 +120,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
     for length, n in counts.items():
         left[length] = n
     out: list[tuple[tuple[int, ...], int]] = []
-    # For each sum, where the search for a pair goes on: counts only fall, so a
-    # pair that is used up never comes back.
-    pair_at = np.arange(capacity + 1) // 2
-    triple_at: dict[int, int] = {}
-
-    def pair(total: int) -> tuple[int, int] | None:
-        b = int(pair_at[total])
-        while b > 0:
-            c = total - b
-            if left[b] and left[c] and (b != c or left[b] > 1):
-                break
-            b -= 1
-        pair_at[total] = b
-        return (total - b, b) if b > 0 else None
+    sums = Sums(left)
 
     def use(pattern: tuple[int, ...]) -> bool:
         need = {x: pattern.count(x) for x in pattern}
@@ -92,16 +134,9 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
     if left[capacity]:
         use((capacity,))
     for a in range(capacity - 1, 0, -1):
-        gap = capacity - a
-        while left[a] and left[gap] and use((a, gap)):
-            pass
-        while left[a] and (p := pair(gap)) and use((a, *p)):
-            pass
-        d = triple_at.get(gap, gap - 2)
-        while left[a] and d > 0:
-            if not (left[d] and (p := pair(gap - d)) and use((a, d, *p))):
-                d -= 1
-        triple_at[gap] = d
+        for find in (sums.single, sums.pair, sums.triple):
+            while left[a] and (found := find(capacity - a)) and use((a, *found)):
+                pass
     # Best-fit decreasing over the rest, many equal sequences at a time.
     open_by_gap: dict[int, list[list]] = {}
     gaps: list[int] = []
@@ -169,7 +204,7 @@ def pack(items: DataFrame, capacity: int, keys: list[str]) -> DataFrame:
     spark = items.sparkSession
     sizes = {r[0]: r[1] for r in items.groupBy("length").count().collect()}  # at most ``capacity`` rows
     total = sum(sizes.values())
-    buckets = max(1, total // 20_000)
+    buckets = max(1, math.isqrt(total))  # rows of a bucket and buckets of a length grow alike
     places = slots(plan(sizes, capacity))
     dealt = items.withColumn("_b", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
     per = dealt.groupBy("length", "_b").agg(F.count("*").alias("_n"))
