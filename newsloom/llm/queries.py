@@ -73,9 +73,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _ESCAPED = r"replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>')"
 _OP1 = rf"""
 WITH said AS (
-  SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
-  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+  SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER () AS row_id FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok', 0
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok', 0
 ), marked AS (
   SELECT *, {_ESCAPED} AS escaped,
     CASE WHEN role IN ('system', 'user', 'assistant') THEN role ELSE '=' || replace(replace(role, '\', '\\'), ':', '\:') END AS label FROM said
@@ -86,7 +86,7 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(4 + length(label) + 2 + length(escaped) + 8) AS BIGINT) AS formatted_chars,
   false AS rewrites
-FROM marked GROUP BY conv_id
+FROM marked GROUP BY conv_id, CASE WHEN conv_id IS NULL THEN row_id END
 """
 _OP4 = r"""
 WITH RECURSIVE words AS (
