@@ -4,7 +4,9 @@ A response record's block is an HTTP message. Its two derivatives point back to
 (WARC-Refers-To), keep its target, date and headers, and carry digests of their own
 and of the source, so that each can be checked without the others. Records are
 written as gzip members; a file is a Parquet container of members in order, and the
-members joined are a valid .warc.gz.
+members joined are a valid .warc.gz. ``from_files`` reads such files.
+
+Pages are hostile input: every scan goes forward once, so time is linear in the page.
 """
 
 from __future__ import annotations
@@ -31,12 +33,18 @@ _ABSOLUTE = re.compile(r"https?://[^#?]*/[^#]*$")
 _ROOTED = re.compile(r"/(?![/.])(?!.*/\.)[^\x00-\x20?#;]*\Z")
 _NAMESPACE = uuid.NAMESPACE_URL.bytes
 RECORD = "page_id bigint, kind string, record_id string, refers_to string, member binary"
-_DROP = re.compile(r"<!--.*?-->|<(script|style|noscript|template|svg)\b[^>]*>.*?</\1\s*>", re.S | re.I)
+_OPEN = re.compile(r"<!--|<(script|style|noscript|template|svg)\b", re.I)
+_CLOSE = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "noscript", "template", "svg", "title")}
 _BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|option|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[!/?a-zA-Z][^>]*>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LINK = re.compile(r"""<(a|img|link|script|iframe)\b[^>]*?\s(?:href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
-_META = re.compile(r"""<meta\b[^>]*?\bname\s*=\s*["']?([\w.:-]+)["']?[^>]*?\bcontent\s*=\s*(?:"([^"]*)"|'([^']*)')""", re.I)
+_TITLE = re.compile(r"<title\b", re.I)
+_HOLDER = re.compile(r"<(a|img|link|script|iframe|meta)(?=[\s/>])", re.I)
+_ATTRIBUTE = re.compile(r"""[\s/]*+(?:(>)|([^\s/>=]++|=)(?:\s*+=\s*+(?:(["'])|([^\s>]*+)))?+)""")
+#: a number no character has, or one too long to be read as a number
+_HUGE = re.compile(r"&#(?:[xX]0*+[0-9a-fA-F]{7,}+|0*+[0-9]{8,}+);?")
+_TEXT = re.compile(r"\s*(?:text/|application/(?:xhtml\+xml|xml|json|ld\+json|rss\+xml|atom\+xml)\b|\Z)", re.I)
+_MARKUP = re.compile(r"\s*(?:text/html|text/xml|application/(?:xhtml\+xml|xml|rss\+xml|atom\+xml)|\Z)", re.I)
+MOST_BODY = 1 << 28  # bytes that a compressed body may unpack to; beyond, no text is drawn from it
 
 
 _PAIRS = [a + b for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567" for b in "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"]
@@ -51,12 +59,80 @@ def digest(data: bytes) -> str:
 def plain_text(html: str) -> str:
     """Visible text: comments, scripts and styles go, block tags end lines, other tags
     vanish, entities are decoded, white space inside a line is one blank, empty lines go."""
-    return _visible(_DROP.sub(" ", html))
+    return _visible(_bare(html))
+
+
+def _bare(html: str) -> str:
+    """The page without comments and elements whose text is not shown. What is opened
+    and never closed counts as a plain tag; that nothing closes it is found out once."""
+    parts, at, look, unclosed = [], 0, 0, set()
+    while m := _OPEN.search(html, look):
+        kind = (m[1] or "").lower()
+        look = m.end()
+        if kind in unclosed:
+            continue
+        if not kind:
+            end = html.find("-->", look)
+            end += 3 if end >= 0 else 0
+        else:
+            opened = html.find(">", look)
+            if opened < 0:
+                break
+            close = _CLOSE[kind].search(html, opened + 1)
+            end = close.end() if close else -1
+        if end < 0:
+            unclosed.add(kind)
+            continue
+        parts.append(html[at : m.start()])
+        at = look = end
+    return " ".join([*parts, html[at:]]) if parts else html
+
+
+def _title(html: str) -> str | None:
+    m = _TITLE.search(html)
+    opened = html.find(">", m.end()) if m else -1
+    close = _CLOSE["title"].search(html, opened + 1) if opened >= 0 else None
+    return html[opened + 1 : close.start()] if close else None
+
+
+def tags(html: str) -> Iterator[tuple[str, dict[str, str]]]:
+    """(name, attributes) of the tags that hold links or metadata. One pass: a tag ends
+    at the first > outside quotes; a page that ends inside a tag ends the scan; the
+    first of repeated attributes counts."""
+    at = 0
+    while m := _HOLDER.search(html, at):
+        own: dict[str, str] = {}
+        at = m.end()
+        while x := _ATTRIBUTE.match(html, at):
+            at = x.end()
+            if x[1]:
+                yield m[1].lower(), own
+                break
+            value = x[4] or ""
+            if x[3]:
+                end = html.find(x[3], at)
+                if end < 0:
+                    return
+                value, at = html[at:end], end + 1
+            own.setdefault(x[2].lower(), value)
+        else:
+            return
+
+
+def _unescape(text: str) -> str:
+    if "&" not in text:
+        return text
+    return entities.unescape(_HUGE.sub("\ufffd", text) if "&#" in text else text)
 
 
 def _visible(html: str) -> str:
-    text = _TAG.sub("", _BLOCK.sub("\n", html)) if "<" in html else html
-    return "\n".join([" ".join(words) for x in entities.unescape(text).split("\n") if (words := x.split())])
+    end = html.rfind(">") + 1  # no tag ends beyond, so the patterns need not look there
+    text = _TAG.sub("", _BLOCK.sub("\n", html[:end])) + html[end:] if end else html
+    return _lines(_unescape(text))
+
+
+def _lines(text: str) -> str:
+    return "\n".join([" ".join(words) for x in text.split("\n") if (words := x.split())])
 
 
 def pack(data: bytes) -> bytes:
@@ -106,12 +182,57 @@ def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return lines[0], [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines[1:])], body
 
 
+def _header(headers: list[tuple[str, str]], name: str) -> str:
+    return next((v for k, v in headers if k.lower() == name), "")
+
+
 def _charset(headers: list[tuple[str, str]]) -> str:
-    kind = next((v for k, v in headers if k.lower() == "content-type"), "")
-    m = re.search(r"charset=[\"']?([\w.:-]+)", kind, re.I)
+    m = re.search(r"charset=[\"']?([\w.:-]+)", _header(headers, "content-type"), re.I)
     return m[1] if m else "utf-8"
 
 
+def _joined_chunks(body: bytes) -> bytes:
+    """The body without its chunked transfer coding; as it is if that is not whole."""
+    parts, at = [], 0
+    while True:
+        end = body.find(CRLF, at, at + 1024)
+        if end < 0:
+            return body
+        try:
+            n = int(body[at:end].split(b";")[0], 16)
+        except ValueError:
+            return body
+        at = end + 2
+        if n == 0:
+            return b"".join(parts)
+        if n < 0 or at + n > len(body):
+            return body
+        parts.append(body[at : at + n])
+        at += n + 2
+
+
+def content(headers: list[tuple[str, str]], body: bytes) -> tuple[bytes, bytes | None]:
+    """(the payload without transfer coding, its content without content coding). No
+    content where the coding is unknown, broken or unpacks to more than MOST_BODY."""
+    payload = _joined_chunks(body) if "chunked" in _header(headers, "transfer-encoding").lower() else body
+    data = payload
+    for coding in reversed([x.strip().lower() for x in _header(headers, "content-encoding").split(",")]):
+        if coding in ("", "identity"):
+            continue
+        if coding not in ("gzip", "x-gzip", "deflate"):
+            return payload, None
+        try:
+            # deflate comes with and without the zlib header
+            window = 47 if coding != "deflate" or data[:1] and data[0] & 15 == 8 else -15
+            d = zlib.decompressobj(window)
+            data = d.decompress(data, MOST_BODY)
+            if not d.eof and d.unconsumed_tail:
+                return payload, None
+        except zlib.error:
+            return payload, None
+    return payload, data
+
+
 def _decode(body: bytes, charset: str) -> str:
     try:
         return body.decode(charset, "replace")
@@ -137,45 +258,59 @@ def response(uri: str, html: str, date: str, key: str) -> bytes:
 
 
 def derive(record: bytes) -> list[tuple[str, bytes]]:
-    """The metadata and conversion records of a response record.
+    """The metadata record of a response record and, if its content is text, the
+    conversion record.
 
-    Digests of the source are checked where given; a source that fails them, or is no
-    response, raises.
+    Transfer and content codings are undone first. The metadata keep every source
+    header, repeated ones too, in order. Digests of the source are checked where given
+    (a payload digest may be of the body before or after transfer coding); a source
+    that fails them, or is no response, raises.
     """
     return [(kind, data) for kind, _, _, data in _derive(*parse(record))]
 
 
 def _derive(headers: list[tuple[str, str]], block: bytes) -> list[tuple[str, str, str, bytes]]:
-    """(kind, record id, source id, record) of both derivatives."""
-    own = {k.lower(): v for k, v in headers}
+    """(kind, record id, source id, record) of the derivatives."""
+    own = {k.lower(): v for k, v in reversed(headers)}
     if own.get("warc-type") != "response":
         raise ValueError("not a response record")
     status, http, body = split_http(block)
-    for name, data in (("warc-block-digest", block), ("warc-payload-digest", body)):
-        if own.get(name, "sha1:").startswith("sha1:") and name in own and own[name] != digest(data):
-            raise ValueError(f"{name} does not match")
+    coded, data = content(http, body)
+    given = own.get("warc-block-digest", "")
+    if given.startswith("sha1:") and given != digest(block):
+        raise ValueError("warc-block-digest does not match")
+    payload = own.get("warc-payload-digest", "")
+    if payload.startswith("sha1:") and payload != digest(body) and (coded is body or payload != digest(coded)):
+        raise ValueError("warc-payload-digest does not match")
     source = own["warc-record-id"]
-    payload = own.get("warc-payload-digest") or digest(body)
-    page = _decode(body, _charset(http))
-    title = _TITLE.search(page)
-    bare = _DROP.sub(" ", page)
-    base = own.get("warc-target-uri", "")
-    root = urljoin_safe(base, "/")[:-1]
-    urls = [(t.lower(), entities.unescape(a or b or c)) for t, a, b, c in _LINK.findall(bare)]
-    links = [{"tag": t, "url": root + u if _ROOTED.match(u) else urljoin_safe(base, u)} for t, u in urls]
-    facts = {
-        "source": dict(headers),
-        "http": {"status": status, "headers": [list(x) for x in http]},
-        "html": {"title": plain_text(title[1]) if title else None, "meta": [[k.lower(), entities.unescape(a or b)] for k, a, b in _META.findall(page)], "links": links},
-    }
-    text = _visible(bare).encode("utf-8", "replace")
+    payload = payload or digest(coded)
+    kind = _header(http, "content-type")
+    readable = data is not None and _TEXT.match(kind) is not None
+    markup = readable and _MARKUP.match(kind) is not None
+    page = _decode(data, _charset(http)) if readable else ""
+    facts = {"source": [list(x) for x in headers], "http": {"status": status, "headers": [list(x) for x in http]}}
+    bare = page
+    if markup:
+        title, bare = _title(page), _bare(page)
+        base = own.get("warc-target-uri", "")
+        root = urljoin_safe(base, "/")[:-1]
+        links = []
+        for tag, x in tags(bare):
+            u = _unescape(x["href"] if "href" in x else x.get("src", "")) if tag != "meta" and ("href" in x or "src" in x) else None
+            if u is not None:
+                links.append({"tag": tag, "url": root + u if _ROOTED.match(u) else urljoin_safe(base, u)})
+        meta = [[x["name"].lower(), _unescape(x["content"])] for tag, x in (tags(page) if "<meta" in page or "<META" in page or "<Meta" in page else ()) if tag == "meta" and "name" in x and "content" in x]
+        facts["html"] = {"title": plain_text(title) if title is not None else None, "meta": meta, "links": links}
+    derived = [("metadata", "application/json", json.dumps(facts, ensure_ascii=True, sort_keys=True).encode())]
+    if readable:
+        derived.append(("conversion", "text/plain", (_visible(bare) if markup else _lines(page)).encode("utf-8", "replace")))
     out = []
-    for kind, mime, data in (("metadata", "application/json", json.dumps(facts, ensure_ascii=True, sort_keys=True).encode()), ("conversion", "text/plain", text)):
-        check = digest(data)
+    for kind, mime, block in derived:
+        check = digest(block)
         name = _record_id(kind, source, check)
         out.append((kind, name, source, serialize(
             [("WARC-Type", kind), ("WARC-Record-ID", name), ("WARC-Refers-To", source), ("WARC-Date", own.get("warc-date", "")), ("WARC-Target-URI", own.get("warc-target-uri", "")), ("WARC-Source-Payload-Digest", payload), ("WARC-Block-Digest", check), ("Content-Type", mime)],
-            data,
+            block,
         )))
     return out
 
@@ -189,6 +324,66 @@ def urljoin_safe(base: str, url: str) -> str:
         return url
 
 
+def records(data: bytes) -> Iterator[bytes]:
+    """The records of a .warc or .warc.gz file, one at a time."""
+    buffer, at = bytearray(), 0
+    if data[:2] != b"\x1f\x8b":
+        yield from _cut(bytearray(data))
+        return
+    view = memoryview(data)
+    while at < len(data):
+        d = zlib.decompressobj(31)
+        for start in range(at, len(data), 1 << 20):
+            buffer += d.decompress(view[start : start + (1 << 20)])
+            if d.eof:
+                at = min(start + (1 << 20), len(data)) - len(d.unused_data)
+                break
+        else:
+            raise ValueError("the file ends inside a gzip member")
+        yield from _cut(buffer)  # takes the whole records, leaves a rest
+    if bytes(buffer).strip():
+        raise ValueError("the file ends inside a record")
+
+
+def _cut(buffer: bytearray) -> Iterator[bytes]:
+    at = 0
+    while True:
+        head = buffer.find(CRLF + CRLF, at)
+        if head < 0:
+            break
+        n = re.search(rb"\r\ncontent-length\s*:\s*(\d+)", buffer[at : head + 2], re.I)
+        if n is None:
+            raise ValueError("no block length")
+        end = head + 4 + int(n[1]) + 4
+        if end > len(buffer):
+            break
+        yield bytes(buffer[at:end])
+        at = end
+    del buffer[:at]
+
+
+def from_files(spark, path: str) -> DataFrame:
+    """(page_id, record) of the response records of .warc and .warc.gz files, through
+    Spark's reader; page_id is null. A file is one task's work and is held whole, as
+    gzip members cannot be found without reading from the start: files of up to 2 GB,
+    the reader's limit, spread over many tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("content"):
+                rows, size = [], 0
+                for record in records(data.as_py()):
+                    if re.search(rb"\r\nwarc-type\s*:\s*response\r\n", record[:65536], re.I):
+                        rows.append(record)
+                        size += len(record)
+                    if size > 1 << 24:
+                        yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), pa.array(rows, pa.binary())], names=["page_id", "record"])
+                        rows, size = [], 0
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), pa.array(rows, pa.binary())], names=["page_id", "record"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "page_id bigint, record binary")
+
+
 def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Response records (page_id, record) for a table of page_id, url, html; null url
     and html are empty."""
