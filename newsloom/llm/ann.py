@@ -5,11 +5,11 @@ in-memory neighbour graph. Every vector goes to its nearest list and, if it lies
 a boundary, to further lists whose centroids are almost as near and not shadowed by a
 chosen one. A query reads the lists whose centroid distance is within a ratio of the
 nearest, and as many of them as a block of held queries needs: their true neighbours
-are found by comparing them with every row, and the lists read grow until RECALL of
-these neighbours are met. Where that would read more than every row once, every row is
-compared with every query instead, and the result is exact. Lists are cut into blocks,
-so a vector that a third of all rows repeat fills many blocks and no task; every row is
-indexed, the sample only places the centroids.
+are found by comparing them with every row, and the lists read grow, up to all of them,
+until RECALL of these neighbours are met. A query whose lists hold too few vectors
+reads all lists. Lists are cut into blocks, so a vector that a third of all rows repeat
+fills many blocks and no task; every row is indexed, the sample only places the
+centroids, whose number grows with the table up to MOST_LISTS.
 """
 
 from __future__ import annotations
@@ -18,15 +18,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm import vectors
 from newsloom.llm.common import durable
 
-SAMPLE = 20_000  # vectors that place the centroids, at most
+SAMPLE = 131_072  # vectors that place the centroids, at most
 LIST = 256  # vectors aimed at per list
-MOST_LISTS = 2_048
+MOST_LISTS = 16_384
 REPLICAS = 4
 CLOSURE = 1.12  # boundary vectors go to lists within this ratio of the nearest
 PRUNE = 1.35  # queries read lists within this ratio of the nearest
@@ -34,7 +34,8 @@ PROBES = 64  # lists a query reads before any are added
 BLOCK, QUERY_BLOCK = 4_096, 1_024
 HELD = 256  # queries whose true neighbours are found to measure recall
 RECALL = 0.95  # aimed at on the held queries
-WIDEST = 4.0  # ratio beyond which every row is compared
+WIDEST = 4.0  # ratio beyond which none is asked for
+_ROWS = 2_048  # of a matrix of distances to all centroids
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -48,16 +49,22 @@ def balanced_centroids(x: np.ndarray, lists: int, rounds: int = 12, seed: int =
     rng = np.random.default_rng(seed)
     c = x[rng.permutation(len(x))[:lists]].copy()
     size, mean = np.zeros(len(c)), len(x) / max(len(c), 1)
-    for r in range(rounds):
-        d = 2 - 2 * x @ c.T
-        spread = np.median(d.min(axis=1)) + 1e-12
-        own = (d + 0.2 * spread * np.minimum(size / mean, 4)).argmin(axis=1)
+    spread = None
+    for _ in range(rounds):
+        own, nearest = np.empty(len(x), np.int64), np.empty(len(x), x.dtype)
+        for a in range(0, len(x), _ROWS):
+            d = 2 - 2 * x[a : a + _ROWS] @ c.T
+            if spread is None:
+                spread = np.median(d.min(axis=1)) + 1e-12
+            own[a : a + _ROWS] = at = (d + 0.2 * spread * np.minimum(size / mean, 4)).argmin(axis=1)
+            nearest[a : a + _ROWS] = d[np.arange(len(d)), at]
+        spread = np.median(nearest) + 1e-12
         size = np.bincount(own, minlength=len(c)).astype(float)
         total = np.zeros_like(c)
         np.add.at(total, own, x)
         empty = size == 0
         if empty.any():  # restart at the vectors worst served
-            far = np.argsort(-d[np.arange(len(x)), own], kind="stable")[: int(empty.sum())]
+            far = np.argsort(-nearest, kind="stable")[: int(empty.sum())]
             total[np.flatnonzero(empty)[: len(far)]] = x[far]
         norm = np.linalg.norm(total, axis=1, keepdims=True)
         c = np.where(norm > 0, total / np.maximum(norm, 1e-12), c)
@@ -67,10 +74,11 @@ def balanced_centroids(x: np.ndarray, lists: int, rounds: int = 12, seed: int =
 class Graph:
     """Neighbour graph over centroids with a best-first search from fixed entries."""
 
-    def __init__(self, centroids: np.ndarray, degree: int = 16):
+    def __init__(self, centroids: np.ndarray, degree: int = 16, radius: float = 0.0):
         self.c = centroids
+        self.radius = radius  # the usual distance of a vector from its list's centroid
         n = len(centroids)
-        near = np.argsort(-(centroids @ centroids.T), axis=1, kind="stable")[:, : degree + 1]
+        near = np.concatenate([np.argsort(-(centroids[a : a + _ROWS] @ centroids.T), axis=1, kind="stable")[:, : degree + 1] for a in range(0, n, _ROWS)])
         links = [set(row.tolist()) - {i} for i, row in enumerate(near)]
         for i, row in enumerate(near):  # both ways, so that hubs lead back
             for j in row[1:]:
@@ -118,7 +126,9 @@ def _choose(graph: Graph, q: np.ndarray, ratio: float, most: int, shadow: bool)
     near, dist = graph.search(q, min(most if not shadow else 2 * most, len(graph.c)))
     out = []
     for at, d in zip(near, dist):
-        keep = (at >= 0) & (d <= ratio * d[0] + 1e-9)
+        # a query at its own centroid still reaches as far as others
+        nearest = d[0] if shadow else max(d[0], graph.radius)
+        keep = (at >= 0) & (d <= (ratio * nearest + 1e-9 if np.isfinite(ratio) else np.inf))
         at, d = at[keep], d[keep]
         if shadow:
             chosen: list[int] = []
@@ -181,26 +191,27 @@ def _true(rows: DataFrame, held: pd.DataFrame, k: int) -> pd.DataFrame:
     return rows.join(F.broadcast(found.select("query_id", "vec_id")), "vec_id").select("query_id", "v").toPandas()
 
 
-def _reach(graph: Graph, held: pd.DataFrame, true: pd.DataFrame, share: np.ndarray) -> tuple[float, int] | None:
+def _reach(graph: Graph, held: pd.DataFrame, true: pd.DataFrame, share: np.ndarray) -> tuple[float, int]:
     """Ratio and number of lists that meet RECALL of the true neighbours of the held
-    queries; None where lists of these shares of the rows would cost more than all rows."""
-    ask = unit(vectors.matrix(held["v"])).astype(np.float32)
+    queries: as many lists as needed, then as wide a ratio. ``share``: of the rows in
+    each list; where the lists of a usual query hold as many vectors as the table (they
+    share boundary vectors), pruning saves nothing and all lists are read."""
     if not len(true):
         return PRUNE, PROBES
+    ask = unit(vectors.matrix(held["v"])).astype(np.float32)
     row = pd.Series(range(len(held)), index=held["vec_id"]).loc[true["query_id"]].to_numpy()
     home = _choose(graph, unit(vectors.matrix(true["v"])).astype(np.float32), CLOSURE, REPLICAS, True)
-    ratio, probes = PRUNE, PROBES
-    while ratio <= WIDEST:
+    ratio, probes = PRUNE, min(PROBES, len(graph.c))
+    while True:
         read = _choose(graph, ask, ratio, probes, False)
-        if np.mean([share[x].sum() for x in read]) >= 1:
-            return None
+        if np.mean([share[x].sum() for x in read]) >= 1 or not np.isfinite(ratio):
+            return np.inf, len(graph.c)
         if np.mean([np.isin(h, read[r]).any() for r, h in zip(row, home)]) >= RECALL:
             return ratio, probes
         if probes < len(graph.c):
             probes = min(len(graph.c), probes + max(1, probes // 4))
         else:
-            ratio *= 1.1
-    return None
+            ratio = ratio * 1.1 if ratio < WIDEST else np.inf
 
 
 def nearest(embeddings: DataFrame, k: int = 5) -> DataFrame:
@@ -220,34 +231,30 @@ def nearest(embeddings: DataFrame, k: int = 5) -> DataFrame:
     u = unit(vectors.matrix(sample["v"])).astype(np.float32)
     x = np.unique(u, axis=0)
     lists = max(1, min(MOST_LISTS, len(x) // 8, -(-n // LIST)))
-    reach = None
+    centroids = balanced_centroids(x, lists)  # at most MOST_LISTS
+    own = np.concatenate([(2 - 2 * u[a : a + _ROWS] @ centroids.T).min(axis=1) for a in range(0, len(u), _ROWS)])
+    graph = Graph(centroids, radius=float(np.sqrt(np.maximum(np.median(own), 0))))
+    reach = PRUNE, PROBES
     if lists > 1:
-        graph = Graph(balanced_centroids(x, lists))  # at most MOST_LISTS centroids
-        u = u[:2_048]  # in the order of a hash: enough for the shares of the lists
-        share = np.bincount(np.concatenate(_choose(graph, u, CLOSURE, REPLICAS, True)), minlength=lists) / len(u)
         held = rows.where(vectors.is_query()).orderBy(F.xxhash64("vec_id", F.lit(4))).limit(HELD).toPandas()
-        reach = _reach(graph, held, _true(rows, held, k), share) if len(held) else (PRUNE, PROBES)
+        if len(held):
+            part = u[:_ROWS]  # in the order of a hash: enough for the shares of the lists
+            share = np.bincount(np.concatenate(_choose(graph, part, CLOSURE, REPLICAS, True)), minlength=len(graph.c)) / len(part)
+            reach = _reach(graph, held, _true(rows, held, k), share)
     asked = durable(rows.where(vectors.is_query()), "queries")
-    if not reach:
-        return _every(rows, n, asked, k)
     posted = durable(_routed(rows, graph, CLOSURE, REPLICAS, True), "posted")
-    found = durable(_searched(posted, durable(_routed(asked, graph, *reach, False), "asked"), F.ceil(F.count("*") / F.lit(BLOCK)), k), "nearest")
-    # lists of few vectors can leave a query short
+    found = durable(_searched(posted, durable(_routed(asked, graph, *reach, False), "asked"), k), "nearest")
+    # lists of few vectors can leave a query short: it reads them all
     short = durable(asked.join(found.where(F.col("rank") == min(k, n - 1)).select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti"), "short")
     if short.isEmpty():
         return found
-    return found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(_every(rows, n, short, k))
-
-
-def _every(rows: DataFrame, n: int, asked: DataFrame, k: int) -> DataFrame:
-    """The k nearest of all n rows for every query asked: exact."""
-    blocks = F.lit(max(-(-n // BLOCK), min(64, -(-n // 256))))
-    return _searched(rows.withColumn("list", F.lit(0)), asked.withColumn("list", F.lit(0)), blocks, k)
+    again = _searched(posted, durable(_routed(short, graph, np.inf, lists, False), "asked"), k)
+    return found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(again)
 
 
-def _searched(posted: DataFrame, asked: DataFrame, blocks: Column, k: int) -> DataFrame:
+def _searched(posted: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     q_size = asked.groupBy("list").agg(F.ceil(F.count("*") / F.lit(QUERY_BLOCK)).cast("int").alias("_qb"))
-    sizes = posted.groupBy("list").agg(blocks.cast("int").alias("_vb")).join(q_size, "list")
+    sizes = posted.groupBy("list").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("_vb")).join(q_size, "list")
     sizes = F.broadcast(durable(sizes, "lists"))  # at most MOST_LISTS rows
     v = vectors.deal(posted, sizes, ["list"], "vb", "qb")
     q = vectors.deal(asked, sizes, ["list"], "qb", "vb")
