@@ -4,13 +4,20 @@ A classifier trained on the labelled table predicts, from byte pairs of the whol
 text, the posterior of each domain (a pair of quality and toxicity labels). Document
 rates r_i >= 0 are then fitted so that the expected tokens of each domain,
 sum_i r_i t_i p_i, come as near to the targets as least squares allows, starting from
-rate 1. Each projected-gradient step is one distributed sum of as many numbers as
-there are domains squared; rates are never stored on the way, because every step
-moves a rate by a fixed function of its posterior, so a task replays the steps.
+rate 1, by accelerated projected gradient. Every step moves a rate by a fixed function
+of its posterior, so rates are never stored on the way: a task replays the steps.
+
+The step length comes from the largest eigenvalue of sum_i t_i p_i p_i', a distributed
+sum. Between two passes over the documents a stretch of steps is worked out on a grid
+of posteriors (a distributed sum of tokens per cell, of bounded size, over all
+documents); each pass then measures the exact totals at the rates reached, and what the
+grid got wrong is added to every later gradient. The fit ends when a further exact step
+would move no rate by more than a tolerance, and states that movement.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,7 +32,10 @@ from newsloom.llm.common import durable
 
 HASHED = 1024
 MAX_TRAIN = 4_000  # labelled documents in the training sample, at most
-STEPS = 24
+PASSES = 40  # over the documents, at most
+STRETCH = 150  # steps between two passes
+MOVED = 1e-5  # largest change of a rate by a further step at which the fit ends
+CELLS = 20_000  # of the grid, about
 _CHUNK = 1 << 21
 
 
@@ -104,71 +114,144 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) ->
 
 @dataclass
 class Rates:
-    """The fitted steps: a rate is 1, then max(0, rate - posterior . step) for each."""
+    """The fitted steps: a rate and its predecessor start at 1; each step (momentum m,
+    move g) takes y = rate + m (rate - predecessor) to max(0, y - posterior . g)."""
 
     domains: list[str]
     targets: np.ndarray
-    steps: list[np.ndarray] = field(default_factory=list)
-    totals: np.ndarray | None = None
+    steps: list[tuple[float, np.ndarray]] = field(default_factory=list)
+    totals: np.ndarray | None = None  # expected tokens of the domains at these rates
+    moved: float = np.inf  # the most that one more step would change a rate
+    error: float = np.inf  # distance from the targets, as a share of their sum
+
+    def both(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        r = last = np.ones(len(p))
+        for m, g in self.steps:
+            r, last = _step(r, last, p, m, g)
+        return r, last
 
     def of(self, p: np.ndarray) -> np.ndarray:
-        r = np.ones(len(p))
-        for s in self.steps:
-            r = np.maximum(0.0, r - p @ s)
-        return r
+        return np.concatenate([self.both(p[a : a + 4096])[0] for a in range(0, len(p), 4096)]) if len(p) else np.ones(0)
+
+
+def _step(r: np.ndarray, last: np.ndarray, p: np.ndarray, m: float, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.maximum(0.0, r + m * (r - last) - p @ g), r
+
+
+def _levels(d: int) -> int:
+    """The finest grid whose cells number about CELLS at most."""
+    levels = 2
+    while levels < 1024 and math.comb(levels + d, d - 1) <= CELLS:
+        levels += 1
+    return levels
+
+
+def _grid(members: DataFrame, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, mean posterior) of the cells of a grid of posteriors that hold tokens."""
+    levels = _levels(d)
+    names = ["cell", "t", *(f"s{k}" for k in range(d))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, np.ndarray] = {}
+        for batch in batches:
+            p, t = _arrays(batch, d)
+            cells, at = np.unique(np.rint(p * levels).astype("<i4"), axis=0, return_inverse=True)
+            sums = np.zeros((len(cells), d + 1))
+            np.add.at(sums, at.ravel(), np.column_stack([t, p * t[:, None]]))
+            for cell, own in zip(cells, sums):
+                key = cell.tobytes()
+                seen[key] = seen[key] + own if key in seen else own
+        rows = np.array(list(seen.values())).reshape(-1, d + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), *(pa.array(rows[:, k].copy()) for k in range(d + 1))], names=names)
+
+    cells = members.mapInArrow(run, "cell binary, t double" + "".join(f", s{k} double" for k in range(d)))
+    rows = np.array([list(r) for r in cells.groupBy("cell").agg(*(F.sum(c).alias(c) for c in names[1:])).drop("cell").collect()])  # about CELLS rows
+    rows = rows.reshape(-1, d + 1)
+    rows = rows[rows[:, 0] > 0]
+    return rows[:, 0], rows[:, 1:] / rows[:, :1]
+
 
+def _arrays(batch: pa.RecordBatch, d: int) -> tuple[np.ndarray, np.ndarray]:
+    p = batch.column("p").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+    return p, batch.column("n_tokens").to_numpy(zero_copy_only=False).astype(np.float64)
 
-def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float], total: float | None = None, steps: int = STEPS) -> Rates:
-    """Least-squares rates for rows (tokens bigint, p array<double>).
+
+def _measure(members: DataFrame, rates: Rates, move: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Exact sums over all documents at these rates: expected tokens of the domains,
+    sum t p p', and the largest change of a rate by the further step ``move``."""
+    d = len(rates.domains)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, most = np.zeros(d + d * d), 0.0
+        for batch in batches:
+            whole, tokens_ = _arrays(batch, d)
+            for a in range(0, len(whole), 4096):
+                p, t = whole[a : a + 4096], tokens_[a : a + 4096]
+                r, _ = rates.both(p)
+                total += np.concatenate([(r * t) @ p, ((p * t[:, None]).T @ p).ravel()])
+                if move is not None and (t > 0).any():
+                    most = max(most, float(np.abs(np.maximum(0.0, r - p @ move) - r)[t > 0].max()))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total) + 1), pa.int32()), pa.array(np.append(total, most))], names=["k", "x"])
+
+    out = np.zeros(d + d * d + 1)
+    sums = members.mapInArrow(run, "k int, x double").groupBy("k").agg(F.sum("x"), F.max("x"))
+    for k, x, m in sums.collect():  # domains squared rows
+        out[k] = m if k == d + d * d else x
+    return out[:d], out[d:-1].reshape(d, d), float(out[-1])
+
+
+def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float], total: float | None = None, passes: int = PASSES) -> Rates:
+    """Least-squares rates for rows (n_tokens bigint, p array<double>).
 
     ``weights``: target share of each domain (missing ones 0, scaled to 1); ``total``:
-    target tokens, by default as many as there are. Gradient steps are scaled by the
-    inverse of the domains' token overlap over documents with a positive rate, and
-    halved when the error grew.
+    target tokens, by default as many as there are. Targets out of reach are approached
+    as near as nonnegative rates can. Without tokens all rates stay 1.
     """
     d = len(domains)
-
-    def sums(r: Rates) -> tuple[np.ndarray, np.ndarray]:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(d + d * d)
-            for batch in batches:
-                p = batch.column("p").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-                t = batch.column("n_tokens").to_numpy(zero_copy_only=False).astype(np.float64)
-                rate = r.of(p)
-                live = np.where(rate > 0, t, 0.0)
-                total += np.concatenate([(rate * t) @ p, ((p * live[:, None]).T @ p).ravel()])
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], names=["k", "x"])
-
-        out = np.zeros(d + d * d)
-        for k, x in members.mapInArrow(run, "k int, x double").groupBy("k").agg(F.sum("x")).collect():  # domains squared rows
-            out[k] = x
-        return out[:d], out[d:].reshape(d, d)
-
     rates = Rates(domains, np.zeros(d))
-    have, gram = sums(rates)
+    have, gram, _ = _measure(members, rates)
     share = np.array([max(0.0, weights.get(x, 0.0)) for x in domains])
     share = share / share.sum() if share.sum() else np.full(d, 1.0 / d)
     rates.targets = share * (have.sum() if total is None else total)
-    scale = max(float(rates.targets.sum()), 1.0)
-    best, kept, size = np.inf, [], 1.0
-    for _ in range(steps):
-        error = have - rates.targets
-        loss = float((error**2).sum()) / scale**2
-        if loss < best:
-            best, kept, rates.totals = loss, list(rates.steps), have
-        else:
-            rates.steps, size = list(kept), size / 2
-            have, gram = sums(rates)
-            error = have - rates.targets
-        if best < 1e-12 or size < 1e-3:
-            break
-        ridge = 1e-9 * max(float(np.trace(gram)), 1.0)
-        rates.steps.append(size * np.linalg.solve(gram + ridge * np.eye(d), error))
-        have, gram = sums(rates)
-    if float(((have - rates.targets) ** 2).sum()) / scale**2 > best:
-        rates.steps = kept
-    else:
-        rates.totals = have
+    rates.totals = have
+    size = max(float(rates.targets.sum()), 1.0)
+    steepest = float(np.linalg.eigvalsh(gram)[-1])
+    if steepest <= 0:
+        rates.moved, rates.error = 0.0, float(np.linalg.norm(have - rates.targets)) / size
+        return rates
+    t, p = _grid(members, d)
+    weighed = p * t[:, None]
+    r = last = np.ones(len(p))
+    pace = 1.0
+    for _ in range(passes):
+        off = have - r @ weighed  # what the grid gets wrong at the rates reached
+        for _ in range(STRETCH):
+            following = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
+            m = (pace - 1) / following
+            y = r + m * (r - last)
+            g = (y @ weighed + off - rates.targets) / steepest
+            new = np.maximum(0.0, y - p @ g)
+            # momentum that leads uphill is dropped: the step is then a plain one
+            if m and float((t * (y - new) * (new - r)).sum()) > 0:
+                m, following = 0.0, 1.0
+                g = (r @ weighed + off - rates.targets) / steepest
+            rates.steps.append((m, g))
+            pace = following
+            r, last = _step(r, last, p, m, g)
+            if float(np.abs(np.maximum(0.0, r - p @ ((r @ weighed + off - rates.targets) / steepest)) - r).max(initial=0.0)) < MOVED / 4:
+                break
+        guess = (r @ weighed + off - rates.targets) / steepest
+        have, _, _ = _measure(members, rates)
+        move = (have - rates.targets) / steepest
+        rates.totals, rates.error = have, float(np.linalg.norm(have - rates.targets)) / size
+        # the grid's rates lie within those of the documents of a cell: the exact
+        # movement needs one more look at them, only when it may end the fit
+        if float(np.abs(move - guess).max()) < MOVED:
+            _, _, rates.moved = _measure(members, rates, move)
+            if rates.moved < MOVED:
+                break
+    if not np.isfinite(rates.moved):
+        _, _, rates.moved = _measure(members, rates, move)
     return rates
 
 
@@ -230,15 +313,30 @@ def chance() -> F.Column:
 
 def apply_rates(docs: DataFrame, model: Classifier, rates: Rates) -> DataFrame:
     """Each document as many times as its rate says, columns unchanged; the posterior
-    is worked out again from the text, so nothing is shuffled."""
+    is worked out again from the text, so nothing is shuffled.
+
+    Null texts are empty and have a rate like others; repeated or null doc_ids keep
+    their rows and share the chance of rounding up; columns of any name pass through;
+    no rows give no rows. Copies leave in batches of bounded size.
+    """
     names, schema = docs.columns, docs.schema
+    lot = "_chance"
+    while lot in names:
+        lot += "_"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tokens.slices(batches, "text"):
             for own in _parts(batch):
                 x, _ = features(own.column("text"))
                 r = rates.of(model.posterior(x))
-                u = own.column("_u").to_numpy(zero_copy_only=False)
-                yield own.take(pa.array(np.repeat(np.arange(len(r)), np.floor(r + u).astype(np.int64)))).select(names)
-
-    return docs.withColumn("_u", chance()).mapInArrow(run, schema)
+                u = own.column(lot).to_numpy(zero_copy_only=False)
+                at = np.repeat(np.arange(len(r)), np.floor(r + u).astype(np.int64))
+                size = pc.fill_null(pc.binary_length(own.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)[at].cumsum()
+                own = own.select(names)
+                start = 0
+                while start < len(at):
+                    stop = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + tokens._BATCH_BYTES, "right")))
+                    yield own.take(pa.array(at[start:stop]))
+                    start = stop
+
+    return docs.withColumn(lot, chance()).mapInArrow(run, schema)
