@@ -32,7 +32,6 @@ BITS = 20
 LANES = 32
 BLOCK = 16_384
 SEGMENT = 1 << 20
-MAX_SHARDS = 20_000
 MAGIC = b"NLRANS1\0"
 NULL_ID = -(2**63)
 _LOW = np.uint64(1 << 31)
@@ -167,11 +166,16 @@ def _unsqueeze(data: bytes) -> np.ndarray:
 
 
 def _shards(docs: DataFrame) -> np.ndarray:
-    """Upper bounds of doc_id ranges of about equal row counts, at most MAX_SHARDS."""
-    n = min(MAX_SHARDS, 2 * docs.rdd.getNumPartitions())
-    cuts = [k / n for k in range(1, n)]
-    found = docs.agg(F.percentile_approx("doc_id", cuts, 10 * n)).first()[0] if cuts else None
-    return np.array(found or [], np.int64)
+    """Upper bounds of doc_id ranges of about equal row counts, two for each input
+    split, so that a shard is of the order of a split at every size of the table; eight
+    bytes each on the driver. A doc_id that fills whole ranges ends several of them."""
+    splits = docs.select(F.spark_partition_id().alias("k")).agg(F.max("k")).first()[0]
+    if splits is None:
+        return np.zeros(0, np.int64)
+    # the second key parts a doc_id that many rows share
+    dealt = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).repartitionByRange(2 * (splits + 1), "doc_id", F.rand(7))
+    found = dealt.groupBy(F.spark_partition_id().alias("k")).agg(F.max("doc_id").alias("last")).collect()
+    return np.array(sorted(r["last"] for r in found if r["last"] is not None)[:-1], np.int64)
 
 
 def _segments(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -234,11 +238,10 @@ def write_files(docs: DataFrame, tokenizer: str, path: str) -> Table:
     frequency table in ``path``/table; returns that table."""
     spark = docs.sparkSession
     segments = durable(_segments(docs, tokenizer), "segments")
-    spark.sparkContext._jvm.System.gc()  # frees the finished shuffle before more is written
     vocabulary = len(tokens.load(tokenizer)[-1])
     counts = _counts(segments, vocabulary)
     table = Table(counts)
-    # Starts: running sums over shards (bounded by MAX_SHARDS) and, inside a shard,
+    # Starts: running sums over shards (two for each input split) and, inside a shard,
     # over its segments.
     shard = segments.groupBy("shard").agg(F.sum("n").alias("m"))
     base = shard.select("shard", F.coalesce(F.sum("m").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
@@ -289,7 +292,7 @@ def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Writes every document's ids to files and reads them back.
 
     Null text counts as empty (one end id). Null doc_ids come first; repeated doc_ids
-    keep a row each, the shorter first; other columns are ignored; an empty table
+    keep a row each, in any order; other columns are ignored; an empty table
     writes empty files and gives no rows. Whole texts of any length are coded.
     """
     path = scratch_path(docs.sparkSession, "rans")
