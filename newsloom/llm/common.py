@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from newsloom.session import send_package
 
-#: Largest side, in rows of a few dozen bytes, that is sent to every executor.
-BROADCAST_ROWS = 2_000_000
+#: Largest side, in rows of at most some hundred bytes (keys and ids), that is sent to
+#: every executor: 64 MB.
+BROADCAST_ROWS = 400_000
 
 _written: list[str] = []
 
@@ -31,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder shared by driver and executors, as the session names it."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if set_dir is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         set_dir = tempfile.mkdtemp(prefix="newsloom-")
         spark.sparkContext.setCheckpointDir(set_dir)
     return set_dir.rstrip("/")

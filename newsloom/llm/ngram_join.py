@@ -24,9 +24,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from newsloom.llm import shingles, tokens
-from newsloom.llm.common import components, durable, small_side
+from newsloom.llm.common import BROADCAST_ROWS, components, durable, small_side
 
 HASHES, ROWS = 128, 4
 BANDS = HASHES // ROWS
@@ -119,11 +120,13 @@ def _family_edges(entries: DataFrame, stats: DataFrame, reps: DataFrame, name: s
 
 def _blocked(members: DataFrame, group: str, size: DataFrame) -> DataFrame:
     """Deals each group's members into blocks and every pair of blocks to a key:
-    (group, x, y), with ``side`` telling the block. Groups of one block get one key."""
-    parts = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
-    dealt = members.join(size, group).withColumn("_parts", parts).withColumn("_b", F.pmod(F.xxhash64("sk", F.lit(7)), F.col("_parts")).cast("int"))
+    (group, x, y), with ``side`` telling the block. Groups of one block get one key; only
+    the sizes of the others are looked up, so that members are not dealt by group."""
+    large = durable(size.where(F.col("members") > BLOCK).select(group, F.ceil(F.col("members") / F.lit(BLOCK)).cast("int").alias("_parts")), "large")
+    dealt = members.join(small_side(large, large.count()), group, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    dealt = dealt.withColumn("_b", F.pmod(F.xxhash64("sk", F.lit(7)), F.col("_parts")).cast("int"))
     other = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    return other.withColumn("x", F.least("_b", "_o")).withColumn("y", F.greatest("_b", "_o")).withColumn("side", F.col("_b")).drop("_b", "_o", "_parts", "members")
+    return other.withColumn("x", F.least("_b", "_o")).withColumn("y", F.greatest("_b", "_o")).withColumn("side", F.col("_b")).drop("_b", "_o", "_parts")
 
 
 def _block_pairs(x: int, y: int, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,8 +161,10 @@ def _cross_groups(entries: DataFrame, family: DataFrame) -> DataFrame:
 def _cross_edges(groups: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """Pairs of different labels in a group that outlast the pruning, thinned to a
     spanning forest of each task: enough to merge their families."""
-    size = groups.groupBy("g").agg(F.count("*").alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("g", "members")
-    dealt = _blocked(groups, "g", size).join(reps.select("sk", "sig"), "sk")
+    size = durable(groups.groupBy("g").agg(F.count("*").alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi")), "sizes")
+    alone = size.where("lo = hi").select("g")
+    groups = groups.join(small_side(alone, alone.count()), "g", "left_anti")
+    dealt = _blocked(groups, "g", size.where("lo <> hi")).join(reps.select("sk", "sig"), "sk")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         sig, label, sk = _sigs(pdf["sig"]), pd.factorize(pdf["label"])[0], pdf["sk"].to_numpy()
@@ -305,6 +310,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5) ->
     copies; a null doc_id stays null and is the class_id only of classes without any
     other id; further columns are ignored; no rows give no rows.
     """
+    return _classes(docs, threshold, width).select("doc_id", "class_id", "copy_id", "n_links")
+
+
+def _classes(docs: DataFrame, threshold: float, width: int) -> DataFrame:
+    """``near_duplicates`` with the set key and the key of the class of every row."""
     signed = durable(signatures(docs, width), "signed")
     reps = signed.groupBy("sk").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("size").alias("size"))
     reps = durable(reps, "reps")
@@ -323,12 +333,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5) ->
     root = components(found.where("b is not null").select("a", "b"), "classes").select(F.col("node").alias("sk"), "root")
     linked = counts.join(root, "sk", "full")
     least = reps.join(linked, "sk").groupBy("root").agg(F.min("doc_id").alias("class"))
-    special = durable(linked.join(least, "root").select("sk", "n", "class"), "linked")
+    special = durable(linked.join(least, "root").select("sk", "n", "class", "root"), "linked")
     every = reps.select("sk", F.col("doc_id").alias("copy_id"), "copies").join(small_side(special, special.count()), "sk", "left")
-    every = durable(every.select("sk", "copy_id", "copies", "n", "class").where("copies > 1 or n is not null"), "classes")
+    every = durable(every.select("sk", "copy_id", "copies", "n", "class", "root").where("copies > 1 or n is not null"), "classes")
     out = signed.select("doc_id", "sk").join(small_side(every, every.count()), "sk", "left")
     return out.select(
         "doc_id",
+        "sk",
+        F.coalesce("root", "sk").alias("class_key"),
         F.when(F.col("n").isNotNull(), F.col("class")).when(F.col("copies").isNotNull(), F.col("copy_id")).otherwise(F.col("doc_id")).alias("class_id"),
         F.when(F.col("copies").isNotNull(), F.col("copy_id")).otherwise(F.col("doc_id")).alias("copy_id"),
         (F.coalesce("n", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"),
@@ -336,14 +348,42 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5) ->
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8, width: int = 5) -> DataFrame:
-    """The documents without all but the least of each class; of repeated rows of
-    that doc_id one stays. Columns are unchanged."""
-    found = durable(near_duplicates(docs, threshold, width), "near")
-    lost = durable(found.where("doc_id is not null and class_id is not null and doc_id <> class_id").select("doc_id").distinct(), "lost")
-    again = found.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")
-    kept = docs.join(small_side(lost, lost.count()), "doc_id", "left_anti")
-    if again.isEmpty():
-        return kept.select(docs.columns)
-    twice = kept.join(again, kept["doc_id"].eqNullSafe(again["doc_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
-    once = kept.join(again, kept["doc_id"].eqNullSafe(again["doc_id"]), "left_anti")
-    return once.select(docs.columns).unionByName(twice.select(docs.columns))
+    """The documents without all but one row of each class: that of the least doc_id
+    (null ids last), of rows with one doc_id that of the least set. Columns of any name
+    pass unchanged.
+
+    A row is judged by its id and its text: where two texts share an id, or ids are
+    null, one may go and the other stay. Repeated rows are copies; no rows, no rows.
+    """
+    found = durable(_classes(docs, threshold, width).select("doc_id", "sk", "class_key"), "near")
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "sk")
+    several = found.groupBy("class_key").agg(F.min(first).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    lost = durable(found.join(several, "class_key").where(~first.eqNullSafe(F.col("first"))).select("doc_id", "sk").distinct(), "lost")
+    again = durable(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
+    n_again = again.count()
+    gone = lost.where("doc_id is not null").select("doc_id").distinct()
+    ids = F.broadcast(again) if n_again <= BROADCAST_ROWS else again
+    once = docs.where("doc_id is not null").join(ids, "doc_id", "left_anti").join(small_side(gone, lost.count()), "doc_id", "left_anti").select(docs.columns)
+    rest = docs.where("doc_id is null")
+    if n_again:
+        rest = rest.unionByName(docs.join(ids, "doc_id", "left_semi").select(docs.columns))
+    elif rest.isEmpty():
+        return once
+    key = "_set"
+    while key in docs.columns:
+        key += "_"
+    told = _keyed(rest, key, width).dropDuplicates(["doc_id", key])
+    told = told.join(lost.select(F.col("doc_id").alias(key + "_d"), F.col("sk").alias(key + "_k")), F.col("doc_id").eqNullSafe(F.col(key + "_d")) & (F.col(key) == F.col(key + "_k")), "left_anti")
+    return once.unionByName(told.select(docs.columns))
+
+
+def _keyed(docs: DataFrame, key: str, width: int) -> DataFrame:
+    """The rows with the key of their shingle set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tokens.slices(batches, "text", 6 << 20):
+            flat, offsets = shingles.shingle(batch.column("text"), width)
+            keys = [shingles.set_key(np.unique(flat[a:b])) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=[*batch.schema.names, key])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(key, BinaryType())]))
