@@ -423,6 +423,16 @@ def test_near_duplicates_awkward(awkward, empty):
     assert kept.columns == awkward.columns and kept.where("doc_id = 4").count() == 1 and kept.where("doc_id = 2").count() == 0
 
 
+def test_one_of_each_class_stays(spark):
+    a, near = " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}" for i in range(59))
+    b, c = " ".join(f"x{i}" for i in range(60)), " ".join(f"y{i}" for i in range(60))
+    rows = [(1, a), (2, near), (2, b), (3, c), (3, c), (None, a), (None, b + "!"), (None, "alone here"), (None, "alone here"), (4, "")]
+    df = spark.createDataFrame([(i, t, "s", 1, "k") for i, t in rows], "doc_id bigint, text string, _set string, n int, sk string").repartition(4)
+    got = ngram_join.keep_one(df)
+    assert got.columns == df.columns
+    assert sorted((r["doc_id"] or 0, r["text"][:5]) for r in got.collect()) == [(0, "alone"), (1, "w0 w1"), (2, "x0 x1"), (3, "y0 y1"), (4, "")]
+
+
 def test_pruning_bound():
     least = ngram_join.least_matches(0.8)
     assert list(least) == sorted(least) and least[-1] < 0.8 * ngram_join.HASHES
