@@ -48,6 +48,9 @@ def _byte_characters() -> dict[int, str]:
     return out
 
 
+_WIDE = {k: v for k, v in _byte_characters().items() if k > 126}
+
+
 @functools.lru_cache(maxsize=2)
 def load(path: str):
     """(tokenizer, the same one for words that are single pieces and come parted by
@@ -57,6 +60,9 @@ def load(path: str):
 
     t = Tokenizer.from_file(path)
     words = Tokenizer(t.model)  # shares the vocabulary
+    for model in (t.model, words.model):
+        if hasattr(model, "_resize_cache"):
+            model._resize_cache(0)  # words come once each: looking them up costs more than it saves
     words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
     vocab = t.get_vocab(with_added_tokens=True)
     opens = np.zeros(max(vocab.values()) + 1, bool)
@@ -66,9 +72,17 @@ def load(path: str):
 
 
 @functools.lru_cache(maxsize=2)
-def _added(path: str) -> str:
-    """A pattern of the strings that the tokenizer takes for added tokens."""
-    return "|".join(re.escape(x.content) for x in load(path)[0].get_added_tokens_decoder().values())
+def _untouched(path: str):
+    """The tokenizer as its file gives it, for texts that are encoded as they are."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+@functools.lru_cache(maxsize=2)
+def _added(path: str) -> list[str]:
+    """The strings that the tokenizer takes for added tokens."""
+    return [x.content for x in load(path)[0].get_added_tokens_decoder().values()]
 
 
 def _each(t, texts: list[str]) -> list[np.ndarray]:
@@ -100,14 +114,16 @@ def _as_they_are(path: str, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np
     return np.concatenate([np.zeros(0, np.uint32), *ids]), np.cumsum(size) - size, size
 
 
-def _joined(t, opens: np.ndarray, words: list[str], glue: str) -> tuple[np.ndarray, np.ndarray]:
-    """(flat ids, ids per word) of words that each begin with white space."""
+def _joined(t, opens: np.ndarray, words: pa.Array, glue: str, finish) -> tuple[np.ndarray, np.ndarray]:
+    """(flat ids, ids per word) of words that each begin with white space once
+    ``finish`` has prepared the texts in which ``glue`` joins them."""
     flat, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-    groups = [words[i : i + _JOIN] for i in range(0, len(words), _JOIN)]
-    for part, ids in zip(groups, _each(t, [glue.join(w) for w in groups])):
+    cuts = np.append(np.arange(0, len(words), _JOIN), len(words)).astype(np.int32)
+    texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), words), glue).to_pylist()
+    for k, ids in enumerate(_each(t, [finish(x) for x in texts])):
         at = np.flatnonzero(opens[ids])
-        if len(at) != len(part) or at[0] != 0:
-            own = _each(t, part)
+        if len(at) != cuts[k + 1] - cuts[k] or at[0] != 0:
+            own = _each(t, [finish(x) for x in words[cuts[k] : cuts[k + 1]].to_pylist()])
             ids, n = np.concatenate(own), np.array([len(x) for x in own])
         else:
             n = np.diff(np.append(at, len(ids)))
@@ -116,6 +132,11 @@ def _joined(t, opens: np.ndarray, words: list[str], glue: str) -> tuple[np.ndarr
     return np.concatenate(flat), np.concatenate(lengths).astype(np.int64)
 
 
+def _spelt(text: str) -> str:
+    """Words of accented letters, parted by blanks, in the letters of the vocabulary."""
+    return "Ġ" + text.encode().decode("latin-1").translate(_WIDE).replace(" ", " Ġ")
+
+
 def _pieces(path: str, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(flat ids, begin and size of each distinct piece). A leading line feed stands
     for itself, anything else follows one blank."""
@@ -126,13 +147,12 @@ def _pieces(path: str, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndar
     parts, used = [], 0
     # words of letters are one piece each: no pattern need part them again
     ascii_only = pc.string_is_ascii(words).to_numpy(zero_copy_only=False)
-    wide = words.filter(pa.array(letters & ~ascii_only)).to_pylist()
-    accented = " ".join(wide).encode().decode("latin-1").translate({k: v for k, v in _byte_characters().items() if k > 126}).split(" ") if wide else []
-    simple = words.filter(pa.array(letters & ascii_only)).to_pylist()
     other = ~letters & ~blank
-    rest = [w if w[0] == "\n" else " " + w for w in words.filter(pa.array(other)).to_pylist()]
-    for mask, own, coder, glue in ((letters & ascii_only, ["Ġ" + w for w in simple], single, " "), (letters & ~ascii_only, ["Ġ" + w for w in accented], single, " "), (other, rest, t, "")):
-        ids, n = _joined(coder, opens, own, glue)
+    rest = words.filter(pa.array(other))
+    rest = pc.if_else(pc.starts_with(rest, "\n"), rest, pc.binary_join_element_wise("", rest, " "))
+    plain, accented = words.filter(pa.array(letters & ascii_only)), words.filter(pa.array(letters & ~ascii_only))
+    for mask, own, coder, glue, finish in ((letters & ascii_only, plain, single, " Ġ", "Ġ".__add__), (letters & ~ascii_only, accented, single, " ", _spelt), (other, rest, t, "", str)):
+        ids, n = _joined(coder, opens, own, glue, finish)
         begin[mask], size[mask] = used + np.cumsum(n) - n, n
         parts.append(ids)
         used += len(ids)
@@ -155,11 +175,10 @@ def _gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nda
 
 
 def _encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
-    t = load(path)[0]
     n = len(texts)
     odd = pc.match_substring_regex(texts, _UNUSUAL).to_numpy(zero_copy_only=False)
-    if _added(path):
-        odd = odd | pc.match_substring_regex(texts, _added(path)).to_numpy(zero_copy_only=False)
+    for string in _added(path):
+        odd = odd | pc.match_substring(texts, string).to_numpy(zero_copy_only=False)
     plain = texts.filter(pa.array(~odd)) if odd.any() else texts
     split = pc.split_pattern(pc.replace_substring(plain, "\n", " \n"), " ")
     offsets = split.offsets.to_numpy().astype(np.int64)
@@ -204,7 +223,7 @@ def _encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     totals = np.add.reduceat(size, first + np.arange(len(first))) if len(first) else np.zeros(0, np.int64)
     if not odd.any():
         return flat, totals
-    whole = [_long(t, x) for x in texts.filter(pa.array(odd)).to_pylist()]
+    whole = [_long(_untouched(path), x) for x in texts.filter(pa.array(odd)).to_pylist()]
     out, counts = [], np.zeros(n, np.int64)
     counts[~odd] = totals
     cut = np.append(0, np.cumsum(totals))
