@@ -266,11 +266,11 @@ def jn9_date_only(spark, sf_dir):
 _SHIFTED = "(SELECT CAST(o_orderdate AS DATE) + 7700 AS d FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1)"
 
 
-@query(_DAILY + """, cal AS (SELECT DISTINCT CAST(ts AS DATE) + 2 AS s FROM events WHERE event_id % 9 = 0)
+@query(_DAILY + """, cal AS (SELECT DISTINCT CAST(ts AS DATE) + 2 AS s FROM events)
 , placed AS (SELECT daily.*, (SELECT min(s) FROM cal WHERE s > daily.d) AS session FROM daily)
 SELECT ticker, CAST(session AS VARCHAR) AS session, round(sum(score * article_count) / sum(article_count), 6) AS score, round(max_by(ma7, d), 6) AS moving_average_7d, CAST(sum(article_count) AS BIGINT) AS article_count FROM placed WHERE session IS NOT NULL GROUP BY 1, 2""")
 def jn10_next_session_sentiment(spark, sf_dir):
-    cal = A.table(spark, sf_dir, "events").where("event_id % 9 = 0").select(F.date_add(F.col("ts").cast("date"), 2).alias("date")).distinct()
+    cal = A.table(spark, sf_dir, "events").select(F.date_add(F.col("ts").cast("date"), 2).alias("date")).distinct()
     out = sentiment.aligned_to_sessions(_daily(spark, sf_dir), windows.numbered(cal, "date", "idx"))
     return out.select("ticker", F.col("session").cast("string").alias("session"), r6("score").alias("score"), r6("moving_average_7d").alias("moving_average_7d"), "article_count")
 
@@ -299,50 +299,39 @@ def jn13_left_fill_zero(spark, sf_dir):
 
 _PATHS = """
 WITH p AS (SELECT s.idx, p.close, p.benchmark FROM v_price p JOIN v_session s USING (date)),
-b AS (SELECT idx FROM v_session WHERE idx % 7 = 0),
+b AS (SELECT idx FROM v_session),
 paths AS (SELECT b.idx, h.h, t.close / z.close - 1 AS raw_return, (t.close / z.close - 1) - (t.benchmark / z.benchmark - 1) AS adjusted_return
   FROM b JOIN p z ON z.idx = b.idx - 1 CROSS JOIN (SELECT unnest(range(11)) AS h) h JOIN p t ON t.idx = b.idx + h.h)
 """
 
 
-def _paths(spark, sf_dir, base="idx % 7 = 0"):
+def _paths(spark, sf_dir):
     s = A.session(spark, sf_dir)
     p = reaction.aligned_prices(A.price(spark, sf_dir), s)
-    return reaction.forward_paths(s.where(base), p)
+    return reaction.forward_paths(s, p)
 
 
 @query(_PATHS + "SELECT idx, CAST(h AS INTEGER) AS h, round(raw_return, 6) AS raw_return, round(adjusted_return, 6) AS adjusted_return FROM paths")
-def jn14_forward_returns(spark, sf_dir, base="idx % 7 = 0"):
-    return _paths(spark, sf_dir, base).select("idx", "h", r6("raw_return").alias("raw_return"), r6("adjusted_return").alias("adjusted_return"))
+def jn14_forward_returns(spark, sf_dir):
+    return _paths(spark, sf_dir).select("idx", "h", r6("raw_return").alias("raw_return"), r6("adjusted_return").alias("adjusted_return"))
 
 
 @query(_PATHS + "SELECT idx, count(*) = 11 AS resolved, round(sum(adjusted_return) FILTER (h <= 5), 6) AS sum_5 FROM paths GROUP BY 1")
-def win15_paths(spark, sf_dir, base="idx % 7 = 0"):
-    c = reaction.complete_paths(_paths(spark, sf_dir, base))
+def win15_paths(spark, sf_dir):
+    c = reaction.complete_paths(_paths(spark, sf_dir))
     five = F.aggregate(F.filter(F.slice("path", 1, 6), lambda x: x.isNotNull()), F.lit(0.0), lambda a, x: a + x)
     none = F.forall(F.slice("path", 1, 6), lambda x: x.isNull())
     return c.select("idx", "resolved", r6(F.when(~none, five)).alias("sum_5"))
 
 
 @query(_PATHS + ", st AS (SELECT idx, abs(raw_return - coalesce(lag(raw_return) OVER (PARTITION BY idx ORDER BY h), 0)) AS s FROM paths) SELECT idx, round(max(s), 6) AS largest_step, max(s) > 0.25 AS extreme FROM st GROUP BY 1")
-def win16_extreme_moves(spark, sf_dir, base="idx % 7 = 0"):
-    return reaction.extreme_moves(_paths(spark, sf_dir, base)).select("idx", r6("largest_step").alias("largest_step"), "extreme")
-
-
-@query("""WITH h AS (SELECT article_id, ticker, CAST(epoch(published_at) AS BIGINT) AS s FROM v_headline WHERE NOT is_demo)
-SELECT p.article_id, count(*) AS pool, CAST(min(abs(c.s - p.s)) AS BIGINT) AS nearest_s FROM h p JOIN h c ON c.ticker = p.ticker AND c.article_id <> p.article_id AND c.s BETWEEN p.s - 30 * 86400 AND p.s + 14 * 86400 WHERE p.article_id % 10 = 0 GROUP BY 1""")
-def jn15_evidence_pool(spark, sf_dir):
-    h = A.headline(spark, sf_dir).where("not is_demo").select("article_id", "ticker", _second("published_at").alias("s"))
-    month = 30 * 86400
-    p = h.where("article_id % 10 = 0").select(F.col("article_id").alias("p"), "ticker", F.col("s").alias("ps")).withColumn("_b", F.explode(F.array(*[F.floor(F.col("ps") / month) + k for k in (-1, 0, 1)])))
-    c = h.withColumn("_b", F.floor(F.col("s") / month))
-    near = p.join(c, ["ticker", "_b"]).where((F.col("p") != F.col("article_id")) & F.col("s").between(F.col("ps") - month, F.col("ps") + 14 * 86400))
-    return near.groupBy(F.col("p").alias("article_id")).agg(F.count("*").alias("pool"), F.min(F.abs(F.col("s") - F.col("ps"))).alias("nearest_s"))
+def win16_extreme_moves(spark, sf_dir):
+    return reaction.extreme_moves(_paths(spark, sf_dir)).select("idx", r6("largest_step").alias("largest_step"), "extreme")
 
 
 @query("""WITH h AS (SELECT article_id, ticker, CAST(epoch(published_at) AS BIGINT) AS s FROM v_headline WHERE NOT is_demo)
 SELECT p.article_id, count(*) AS pool, CAST(min(abs(c.s - p.s)) AS BIGINT) AS nearest_s FROM h p JOIN h c ON c.ticker = p.ticker AND c.article_id <> p.article_id AND c.s BETWEEN p.s - 30 * 86400 AND p.s + 14 * 86400 GROUP BY 1""")
-def jn15_evidence_pool_every(spark, sf_dir):
+def jn15_evidence_pool(spark, sf_dir):
     """Pools of all articles as differences of running counts by ticker and day, so no
     pair of articles is a row. One row per article_id is taken as given."""
     day, back, ahead = 86400, 30 * 86400, 14 * 86400
@@ -449,45 +438,45 @@ def cls24_regimes(spark, sf_dir):
 
 
 @query(_PATHS + "SELECT CAST(h AS INTEGER) AS h, count(*) AS n, round(avg(adjusted_return), 6) AS mean, round(median(adjusted_return), 6) AS median, round(avg(CAST(adjusted_return > 0 AS INTEGER)), 6) AS share_positive FROM paths GROUP BY 1")
-def agg8_return_summary(spark, sf_dir, base="idx % 7 = 0"):
-    s = reaction.return_summary(_paths(spark, sf_dir, base), ["h"], "adjusted_return")
+def agg8_return_summary(spark, sf_dir):
+    s = reaction.return_summary(_paths(spark, sf_dir), ["h"], "adjusted_return")
     return s.select("h", "n", r6("mean").alias("mean"), r6("median").alias("median"), r6("share_positive").alias("share_positive"))
 
 
 @query(_PATHS + ", x AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY idx) AS r, count(*) OVER (PARTITION BY h) AS n FROM paths) SELECT CAST(h AS INTEGER) AS h, round(avg(adjusted_return) FILTER (r <= n // 2), 6) AS first_half, round(avg(adjusted_return) FILTER (r > n // 2), 6) AS second_half FROM x GROUP BY 1")
-def agg9_split_half(spark, sf_dir, base="idx % 7 = 0"):
-    return reaction.split_half(_paths(spark, sf_dir, base), ["h"], "idx", "adjusted_return").select("h", r6("first_half").alias("first_half"), r6("second_half").alias("second_half"))
+def agg9_split_half(spark, sf_dir):
+    return reaction.split_half(_paths(spark, sf_dir), ["h"], "idx", "adjusted_return").select("h", r6("first_half").alias("first_half"), r6("second_half").alias("second_half"))
 
 
 @query(_PATHS + """, y AS (SELECT h, rank() OVER (PARTITION BY h ORDER BY raw_return) + (count(*) OVER (PARTITION BY h, raw_return) - 1) / 2 AS a, rank() OVER (PARTITION BY h ORDER BY adjusted_return) + (count(*) OVER (PARTITION BY h, adjusted_return) - 1) / 2 AS b FROM paths)
 SELECT CAST(h AS INTEGER) AS h, count(*) AS n, CASE WHEN count(*) >= 100 THEN round(corr(a, b), 6) END AS rho FROM y GROUP BY 1""")
-def agg10_spearman(spark, sf_dir, base="idx % 7 = 0"):
-    return reaction.spearman(_paths(spark, sf_dir, base), ["h"], "raw_return", "adjusted_return").select("h", "n", r6("rho").alias("rho"))
+def agg10_spearman(spark, sf_dir):
+    return reaction.spearman(_paths(spark, sf_dir), ["h"], "raw_return", "adjusted_return").select("h", "n", r6("rho").alias("rho"))
 
 
 @query(None)
-def num1_student_t(spark, sf_dir, base="idx % 7 = 0"):
-    return reaction.intervals(_paths(spark, sf_dir, base), ["h"], "adjusted_return").select("h", "n", r6("low").alias("low"), r6("high").alias("high"))
+def num1_student_t(spark, sf_dir):
+    return reaction.intervals(_paths(spark, sf_dir), ["h"], "adjusted_return").select("h", "n", r6("low").alias("low"), r6("high").alias("high"))
 
 
 @query(None)
-def num2_percentile_bootstrap(spark, sf_dir, base="idx % 7 = 0"):
-    return reaction.intervals(_paths(spark, sf_dir, base), ["h"], "adjusted_return", "percentile").select("h", "n", r6("low").alias("low"), r6("high").alias("high"))
+def num2_percentile_bootstrap(spark, sf_dir):
+    return reaction.intervals(_paths(spark, sf_dir), ["h"], "adjusted_return", "percentile").select("h", "n", r6("low").alias("low"), r6("high").alias("high"))
 
 
 @query(None)
-def num3_bootstrap_t(spark, sf_dir, base="idx % 7 = 0"):
-    return reaction.intervals(_paths(spark, sf_dir, base), ["h"], "adjusted_return", "bootstrap_t").select("h", "n", r6("low").alias("low"), r6("high").alias("high"))
+def num3_bootstrap_t(spark, sf_dir):
+    return reaction.intervals(_paths(spark, sf_dir), ["h"], "adjusted_return", "bootstrap_t").select("h", "n", r6("low").alias("low"), r6("high").alias("high"))
 
 
 @query(None)
-def num4_bca(spark, sf_dir, base="idx % 7 = 0"):
-    return reaction.intervals(_paths(spark, sf_dir, base), ["h"], "adjusted_return", "bca").select("h", "n", r6("low").alias("low"), r6("high").alias("high"))
+def num4_bca(spark, sf_dir):
+    return reaction.intervals(_paths(spark, sf_dir), ["h"], "adjusted_return", "bca").select("h", "n", r6("low").alias("low"), r6("high").alias("high"))
 
 
 @query(None)
-def cls26_evidence_state(spark, sf_dir, base="idx % 7 = 0"):
-    p = _paths(spark, sf_dir, base)
+def cls26_evidence_state(spark, sf_dir):
+    p = _paths(spark, sf_dir)
     m = reaction.return_summary(p, ["h"], "adjusted_return").join(reaction.split_half(p, ["h"], "idx", "adjusted_return"), "h").join(reaction.intervals(p, ["h"], "adjusted_return").select("h", "low", "high"), "h")
     return m.select("h", "n", reaction.evidence_state(F.col("n"), F.col("low"), F.col("high"), F.col("mean"), F.col("median"), F.col("first_half"), F.col("second_half")).alias("state"))
 
@@ -719,16 +708,14 @@ def hsh1_fingerprint(spark, sf_dir):
     return A.headline(spark, sf_dir).select("article_id", text.fingerprint(F.col("title"), F.col("ticker"), F.col("source"), F.col("published_at")).alias("fingerprint"))
 
 
-@query("SELECT ticker, left(sha256(string_agg(CAST(article_id AS VARCHAR), '|' ORDER BY article_id)), 32) AS fingerprint FROM v_headline WHERE article_id % 10 = 0 GROUP BY 1")
+@query("""WITH e AS (SELECT article_id, list_prepend(article_id, coalesce(list(article_id) OVER (PARTITION BY ticker, source ORDER BY article_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), [])) AS ids FROM v_headline)
+SELECT article_id, left(sha256(array_to_string(ids, '|')), 32) AS fingerprint FROM e""")
 def hsh2_evidence_fingerprint(spark, sf_dir):
-    ids = F.transform(F.array_sort(F.collect_list("article_id")), lambda x: x.cast("string"))
-    return A.headline(spark, sf_dir).where("article_id % 10 = 0").groupBy("ticker").agg(text.evidence_fingerprint(ids).alias("fingerprint"))
-
-
-@query("SELECT ticker, left(sha256(string_agg(CAST(article_id AS VARCHAR), '|' ORDER BY article_id)), 32) AS fingerprint FROM v_headline GROUP BY 1")
-def hsh2_evidence_fingerprint_every(spark, sf_dir):
-    ids = F.transform(F.array_sort(F.collect_list("article_id")), lambda x: x.cast("string"))
-    return A.headline(spark, sf_dir).groupBy("ticker").agg(text.evidence_fingerprint(ids).alias("fingerprint"))
+    """Each article with up to five earlier ones of its company and source as evidence."""
+    before = Window.partitionBy("ticker", "source").orderBy("article_id").rowsBetween(-5, -1)
+    ids = F.concat(F.array("article_id"), F.collect_list("article_id").over(before))
+    e = A.headline(spark, sf_dir).select("article_id", ids.alias("ids"))
+    return e.select("article_id", text.evidence_fingerprint(F.transform("ids", lambda x: x.cast("string"))).alias("fingerprint"))
 
 
 # --- dates and numbers ----------------------------------------------------------------
@@ -739,14 +726,8 @@ def dat2_age(spark, sf_dir):
     return A.headline(spark, sf_dir).select("article_id", r6(maths.age_hours(_now(), F.col("published_at"))).alias("hours"))
 
 
-@query("SELECT article_id, strftime(published_at, '%H:%M:%S') = '00:00:00' OR strftime(published_at, '%H:%M:%S') = '08:00:00' AS date_only FROM v_headline WHERE published_at < TIMESTAMP '2024-03-01 00:00:00'")
-def dat4_placeholder(spark, sf_dir):
-    h = A.headline(spark, sf_dir).where(F.col("published_at") < F.lit("2024-03-01").cast("timestamp"))
-    return h.select("article_id", rules.placeholder_stamp(F.col("published_at")).alias("date_only"))
-
-
 @query("SELECT article_id, strftime(published_at, '%H:%M:%S') = '00:00:00' OR strftime(timezone('America/Los_Angeles', timezone('UTC', published_at)), '%H:%M:%S') = '00:00:00' AS date_only FROM v_headline")
-def dat4_placeholder_every(spark, sf_dir):
+def dat4_placeholder(spark, sf_dir):
     return A.headline(spark, sf_dir).select("article_id", rules.placeholder_stamp(F.col("published_at")).alias("date_only"))
 
 
@@ -803,15 +784,3 @@ def mth9_softmax(spark, sf_dir):
 
 
 # --- paths from every session ---------------------------------------------------------
-
-
-def _from_every_session(f: Query) -> None:
-    """The query over the paths of all sessions, beside that of each seventh."""
-    name = f"{f.__name__}_every"
-    QUERIES[name] = lambda spark, sf_dir: f(spark, sf_dir, "true")
-    if f.__name__ in SQL:
-        SQL[name] = SQL[f.__name__].replace(" WHERE idx % 7 = 0", "")
-
-
-for _f in (jn14_forward_returns, win15_paths, win16_extreme_moves, agg8_return_summary, agg9_split_half, agg10_spearman, num1_student_t, num2_percentile_bootstrap, num3_bootstrap_t, num4_bca, cls26_evidence_state):
-    _from_every_session(_f)

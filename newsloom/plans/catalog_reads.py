@@ -47,9 +47,9 @@ def agg25_aligned_sentiment(spark, sf_dir):
     return out.agg(r6(F.sum(F.col("s") * F.col("n")) / F.sum("n")).alias("score"), r6(F.max_by("ma", "day")).alias("last_mean"), F.sum("n").alias("articles"))
 
 
-@query("SELECT ticker, strftime(min(published_at), '%Y-%m-%d') || ' to ' || strftime(max(published_at), '%Y-%m-%d') || ', ' || (date_diff('day', CAST(min(published_at) AS DATE), CAST(max(published_at) AS DATE)) + 1 - count(DISTINCT CAST(published_at AS DATE))) || ' days without articles' AS note FROM v_scored_article WHERE relevance > 0.3 AND source < 'src15' GROUP BY ticker")
+@query("SELECT ticker, strftime(min(published_at), '%Y-%m-%d') || ' to ' || strftime(max(published_at), '%Y-%m-%d') || ', ' || (date_diff('day', CAST(min(published_at) AS DATE), CAST(max(published_at) AS DATE)) + 1 - count(DISTINCT CAST(published_at AS DATE))) || ' days without articles' AS note FROM v_scored_article GROUP BY ticker")
 def mis27_coverage_note(spark, sf_dir):
-    a = A.scored_article(spark, sf_dir).where("relevance > 0.3 and source < 'src15'").withColumn("day", F.to_date("published_at"))
+    a = A.scored_article(spark, sf_dir).withColumn("day", F.to_date("published_at"))
     g = a.groupBy("ticker").agg(F.min("day").alias("a"), F.max("day").alias("b"), F.count_distinct("day").alias("n"))
     gaps = F.date_diff("b", "a") + 1 - F.col("n")
     return g.select("ticker", F.concat(F.date_format("a", "yyyy-MM-dd"), F.lit(" to "), F.date_format("b", "yyyy-MM-dd"), F.lit(", "), gaps.cast("string"), F.lit(" days without articles")).alias("note"))
@@ -58,10 +58,11 @@ def mis27_coverage_note(spark, sf_dir):
 # --- prices ---------------------------------------------------------------------------
 
 
-@query("SELECT CAST(max(idx) - min(idx) + 1 - count(*) AS BIGINT) AS gaps, count(*) AS observed FROM v_price JOIN v_session USING (date) WHERE idx % 11 <> 4")
+@query("""WITH own AS (SELECT DISTINCT o_custkey AS series, CAST(o_orderdate AS DATE) AS date FROM orders)
+SELECT series, CAST(max(idx) - min(idx) + 1 - count(*) AS BIGINT) AS gaps, count(*) AS observed FROM own JOIN v_session USING (date) GROUP BY 1""")
 def agg13_price_gaps(spark, sf_dir):
-    p = A.price(spark, sf_dir).join(A.session(spark, sf_dir), "date").where("idx % 11 <> 4")
-    return p.agg((F.max("idx") - F.min("idx") + 1 - F.count("*")).alias("gaps"), F.count("*").alias("observed"))
+    own = A.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("series"), F.col("o_orderdate").cast("date").alias("date")).distinct()
+    return own.join(A.session(spark, sf_dir), "date").groupBy("series").agg((F.max("idx") - F.min("idx") + 1 - F.count("*")).alias("gaps"), F.count("*").alias("observed"))
 
 
 @query("""WITH x AS (SELECT o_custkey, o_totalprice, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before FROM orders)

@@ -262,7 +262,7 @@ def test_stream_equals_batch(spark, small, tmp_path):
 
 
 def test_placeholders_of_the_whole_table(spark, small):
-    got = catalog.QUERIES["dat4_placeholder_every"](spark, small)
+    got = catalog.QUERIES["dat4_placeholder"](spark, small)
     assert got.count() == A.headline(spark, small).count()
     at = spark.sql("select explode(array(timestamp'2024-01-10 08:00:00', timestamp'2024-07-10 07:00:00', timestamp'2024-07-10 08:00:00')) as at")
     assert [r[0] for r in at.select(rules.placeholder_stamp(F.col("at"))).collect()] == [True, True, False]
@@ -275,20 +275,21 @@ def test_evidence_of_every_article(spark, small):
         far = [abs(x - s) for b, u, x in h if b != a and u == t and s - 30 * 86400 <= x <= s + 14 * 86400]
         if far:
             want[a] = (len(far), min(far))
-    got = {r[0]: (r[1], r[2]) for r in catalog.QUERIES["jn15_evidence_pool_every"](spark, small).collect()}
+    got = {r[0]: (r[1], r[2]) for r in catalog.QUERIES["jn15_evidence_pool"](spark, small).collect()}
     assert got == want and any(a % 10 for a in got)
-    every = catalog.QUERIES["hsh2_evidence_fingerprint_every"](spark, small).collect()
-    ids = {}
-    for r in A.headline(spark, small).select("article_id", "ticker").collect():
-        ids.setdefault(r[1], []).append(r[0])
-    assert {r[0]: r[1] for r in every} == {t: hashlib.sha256("|".join(map(str, sorted(x))).encode()).hexdigest()[:32] for t, x in ids.items()}
+    own = {}
+    for a, t, u in sorted(tuple(r) for r in A.headline(spark, small).select("article_id", "ticker", "source").collect()):
+        own.setdefault((t, u), []).append(a)
+    got = {r[0]: r[1] for r in catalog.QUERIES["hsh2_evidence_fingerprint"](spark, small).collect()}
+    want = {a: "|".join(map(str, [a, *ids[max(0, k - 5) : k]])) for ids in own.values() for k, a in enumerate(ids)}
+    assert got == {a: hashlib.sha256(x.encode()).hexdigest()[:32] for a, x in want.items()}
 
 
 def test_paths_from_every_session(spark, small):
     s = [r[0] for r in A.session(spark, small).select("idx").collect()]
     priced = {r[0] for r in A.price(spark, small).join(A.session(spark, small), "date").select("idx").collect()}
     want = {(i, h) for i in s for h in range(11) if i - 1 in priced and i + h in priced}
-    got = {(r["idx"], r["h"]) for r in catalog.QUERIES["jn14_forward_returns_every"](spark, small).where("raw_return is not null").collect()}
+    got = {(r["idx"], r["h"]) for r in catalog.QUERIES["jn14_forward_returns"](spark, small).where("raw_return is not null").collect()}
     assert got == want and any(i % 7 for i, _ in got)
-    n = {r["h"]: r["n"] for r in catalog.QUERIES["agg8_return_summary_every"](spark, small).collect()}
+    n = {r["h"]: r["n"] for r in catalog.QUERIES["agg8_return_summary"](spark, small).collect()}
     assert n == {h: sum(g == h for _, g in want) for h in n}
