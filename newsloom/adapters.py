@@ -7,7 +7,7 @@ shared, so both sides read the same headlines and phrases.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Headlines that the text rules are exercised with, one by doc_id modulo their count.
@@ -134,10 +134,9 @@ def price(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def session(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trading calendar: sessions numbered from 0, each with its close."""
-    from newsloom.operators.windows import numbered
-
     days = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("date")).distinct()
-    return numbered(days, "date", "idx").withColumn("close_at", F.expr("cast(date as timestamp) + interval 16 hours"))
+    number = F.row_number().over(Window.orderBy("date")) - 1  # a dimension: one row per trading day
+    return days.withColumn("idx", number.cast("bigint")).withColumn("close_at", F.expr("cast(date as timestamp) + interval 16 hours"))
 
 
 def session_article(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,6 +151,26 @@ def session_article(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def reaction_article(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles of the event study: lines of an order share addresses in threes, titles
+    and publishers repeat, some rows are demos, lack a time or have impossible shares."""
+    li = table(spark, sf_dir, "lineitem")
+    p = (F.col("l_discount") - 0.05) / 0.05
+    return li.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("article_id"),
+        F.concat(F.lit("S"), F.col("l_suppkey") % 4).alias("ticker"),
+        pick(HEADLINES, F.col("l_partkey")).alias("title"),
+        pick(PUBLISHERS, F.expr("l_suppkey div 4")).alias("source"),
+        F.concat(F.lit("https://news.example.com/"), F.col("l_orderkey"), F.lit("/"), F.expr("l_linenumber div 3"), F.lit("?utm_source=x")).alias("url"),
+        F.when(F.col("l_tax") != 0.07, F.unix_timestamp(F.col("l_shipdate").cast("timestamp")) + F.col("l_partkey") % 24 * 3600).alias("published_s"),
+        (F.col("l_linenumber") == 7).alias("date_only"),
+        (F.col("l_orderkey") % 29 == 0).alias("is_demo"),
+        F.when(F.col("l_quantity") == 13, 2.0).otherwise(F.greatest(p, F.lit(0.0))).alias("positive"),
+        F.greatest(-p, F.lit(0.0)).alias("negative"),
+        (1 - F.abs(p)).alias("neutral"),
+    )
+
+
 _K = "CAST(json_extract_string(props, '$.k') AS DOUBLE)"
 VIEWS = {
     "v_scored_article": f"""SELECT event_id AS article_id, 'T' || (user_id % 5) AS ticker, 'src' || (user_id % 20) AS source, ts AS published_at,
@@ -167,6 +186,9 @@ VIEWS = {
     "v_session": "SELECT date, row_number() OVER (ORDER BY date) - 1 AS idx, CAST(date AS TIMESTAMP) + INTERVAL 16 HOUR AS close_at FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders)",
     "v_session_article": """SELECT l_orderkey || '-' || l_linenumber AS article_id, 'S' || (l_suppkey % 4) AS ticker, CAST(l_suppkey AS VARCHAR) AS source,
       CAST(epoch(l_shipdate) AS BIGINT) + l_partkey % 24 * 3600 AS published_s, (l_discount - 0.05) / 0.05 AS polarity, l_linenumber = 7 AS date_only FROM lineitem""",
+    "v_reaction_article": f"""SELECT l_orderkey || '-' || l_linenumber AS article_id, 'S' || (l_suppkey % 4) AS ticker, {_sql_pick(HEADLINES, 'l_partkey')} AS title, {_sql_pick(PUBLISHERS, 'l_suppkey // 4')} AS source,
+      'https://news.example.com/' || l_orderkey || '/' || (l_linenumber // 3) AS address, CASE WHEN l_tax <> 0.07 THEN CAST(epoch(l_shipdate) AS BIGINT) + l_partkey % 24 * 3600 END AS published_s,
+      (l_discount - 0.05) / 0.05 AS polarity, l_linenumber = 7 AS date_only, l_orderkey % 29 = 0 AS is_demo, l_quantity <> 13 AS valid FROM lineitem""",
 }
 _NEEDS = {"v_analysis": ("v_headline",)}
 

@@ -101,24 +101,56 @@ def similar_pairs(reports: DataFrame, key: list[str], terms: str, window_seconds
     return pairs.select(F.col("l_article_id").alias("a"), F.col("r_article_id").alias("b"))
 
 
-def connected(nodes: DataFrame, pairs: DataFrame, rounds: int = 20) -> DataFrame:
+def connected(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(article_id, group_id): the least id reachable over the pairs, by taking the
     least label of the neighbours and of the label itself until nothing changes. Each
     round is checkpointed in the shared folder."""
     edges = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
     labels = nodes.select(F.col("article_id").alias("n"), F.col("article_id").alias("g")).checkpoint()
-    for _ in range(rounds):
+    state = None
+    while True:
         near = edges.join(labels, F.col("b") == F.col("n")).groupBy("a").agg(F.min("g").alias("m"))
         step = labels.join(near, F.col("n") == F.col("a"), "left").select("n", F.least("g", "m").alias("g"))
         jump = step.select(F.col("n").alias("k"), F.col("g").alias("h"))
         new = step.join(jump, F.col("g") == F.col("k")).select("n", F.col("h").alias("g")).checkpoint()
-        changed = new.agg(F.sum("g")).first()[0] != labels.agg(F.sum("g")).first()[0]
-        labels = new
-        if not changed:
+        labels, before = new, state
+        state = new.agg(F.sum(F.xxhash64("n", "g").cast("decimal(38,0)"))).first()[0]
+        if state == before:
             break
     return labels.select(F.col("n").alias("article_id"), F.col("g").alias("group_id"))
 
 
+def greedy_distinct(rows: DataFrame, group: list[str], keys: list[str], order: list[str]) -> DataFrame:
+    """The rows that stay when, in ``order``, a row goes as soon as one that stays has
+    any of its ``keys`` (within ``group``); a row that goes claims nothing.
+
+    Null keys match nothing; of rows equal in group and order one stays; order decides
+    ties by its further columns; an empty table gives no rows. A round keeps the rows
+    that come first under all their keys and drops what they claim; rounds follow the
+    longest chain of claims, and a round's rows are checkpointed.
+    """
+    left = rows.dropDuplicates([*group, *order])
+    place = F.struct(*order)
+    kept = None
+    while True:
+        marked, first = left.withColumn("_place", place), F.lit(True)
+        for k in keys:
+            # grouped minima, so that a key of many rows is combined before it travels
+            least = left.where(F.col(k).isNotNull()).groupBy(*group, k).agg(F.min(place).alias(f"_least_{k}"))
+            marked = marked.join(least, [*group, k], "left")
+            first = first & (F.col(f"_least_{k}").isNull() | (F.col(f"_least_{k}") == F.col("_place")))
+        marked = marked.withColumn("_first", first).select(*rows.columns, "_first").checkpoint()
+        own = marked.where("_first").select(rows.columns)
+        rest = marked.where("not _first").select(rows.columns)
+        for k in keys:
+            claimed = own.where(F.col(k).isNotNull()).select(*group, k).distinct()
+            rest = rest.join(claimed, [*group, k], "left_anti").select(rows.columns)
+        kept = own if kept is None else kept.unionByName(own)
+        if rest.isEmpty():
+            return kept
+        left = rest
+
+
 def first_match_groups(signals: DataFrame, keys: list[str], window_seconds: int = 48 * 3600, least: float = 0.75, distinctive: int = 4) -> DataFrame:
     """Greedy grouping in order of (-score, -time, id): a signal joins the first group
     with a member that describes the same event, else it starts one; groups are never

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.operators import asof, windows
+from newsloom.functions import maths, rules, text
+from newsloom.operators import asof, grouping, windows
 from newsloom.session import send_package
 
 HORIZON = 10
@@ -20,19 +21,77 @@ MIN_N, FULL_N, MIN_EFFECT = 10, 20, 0.005
 MIN_SPAN, MIN_DENSITY, MIN_COVERED = 126, 0.5, 63
 
 
+def eligible(articles: DataFrame) -> DataFrame:
+    """Articles with ``why``: the first reason against each (demo, invalid_sentiment,
+    unusable_timestamp), null for none. Columns: article_id, ticker, title, source, url,
+    published_s (seconds), date_only, is_demo, positive, negative, neutral; others pass."""
+    valid = maths.valid_probabilities(F.col("positive"), F.col("negative"), F.col("neutral"))
+    why = F.when(F.coalesce("is_demo", F.lit(False)), "demo").when(~valid, "invalid_sentiment").when(F.col("published_s").isNull(), "unusable_timestamp")
+    return articles.withColumn("why", why)
+
+
+def _placed(articles: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Eligible rows with session, canonical address and order: by time, date-only rows
+    last in their day, then by id."""
+    late = F.when(F.col("date_only"), 2 * (F.floor(F.col("published_s") / 86_400) + 1) * 86_400 - 1).otherwise(2 * F.col("published_s"))
+    url = F.when(F.trim(F.coalesce("url", F.lit(""))) != "", text.normalize_url(F.col("url")))
+    rows = eligible(articles).where("why is null").withColumn("at", late).withColumn("address", url)
+    return asof.session_of(rows, sessions, F.col("published_s"), F.col("date_only"))
+
+
+def _distinct_reports(placed: DataFrame) -> DataFrame:
+    """Assignable rows without canonical copies; ``again`` marks a title that its
+    session has had."""
+    kept = grouping.greedy_distinct(placed.where("session is not null"), ["ticker"], ["article_id", "address"], ["at", "article_id", "address", "title", "source"])
+    title = text.normalize_title(F.col("title"), F.col("source"))
+    w = Window.partitionBy("ticker", "idx", "title_key").orderBy("at", "article_id")
+    return kept.withColumn("title_key", F.coalesce(title, F.lit(""))).withColumn("again", (F.col("title_key") != "") & (F.row_number().over(w) > 1))
+
+
 def session_signals(articles: DataFrame, sessions: DataFrame) -> DataFrame:
     """Per (ticker, session): mean polarity clamped to -1..1, articles, distinct
-    sources, share of date-only rows, and whether the timing is exact."""
-    placed = asof.session_of(articles, sessions, F.col("published_s"), F.col("date_only")).where("session is not null")
-    return placed.groupBy("ticker", "idx", "session").agg(
-        F.greatest(F.least(F.avg("polarity"), F.lit(1.0)), F.lit(-1.0)).alias("signal"),
-        F.count("*").alias("articles"),
-        F.count_distinct("source").alias("sources"),
-        F.avg(F.col("date_only").cast("double")).alias("date_only_share"),
-        (F.max(F.col("date_only").cast("int")) == 0).alias("exact_timing"),
+    organisations, share of date-only rows, articles before title copies went, and
+    whether the timing is exact.
+
+    Demo rows, invalid probabilities and unusable times take no part; the earliest row
+    of an id or canonical address stays, rows outside the calendar claim neither; in a
+    session the first of equal titles stays. Null titles are never copies; a session
+    without articles has no row.
+    """
+    d = _distinct_reports(_placed(articles, sessions))
+    own = lambda c: F.when(~F.col("again"), c)
+    return d.groupBy("ticker", "idx", "session").agg(
+        F.greatest(F.least(F.avg(own(maths.polarity(F.col("positive"), F.col("negative")))), F.lit(1.0)), F.lit(-1.0)).alias("signal"),
+        F.count(own(F.lit(1))).alias("articles"),
+        F.count_distinct(own(rules.organisation(F.col("source"), F.col("url"), F.col("title")))).alias("sources"),
+        F.avg(own(F.col("date_only").cast("double"))).alias("date_only_share"),
+        (F.max(own(F.col("date_only").cast("int"))) == 0).alias("exact_timing"),
+        F.count("*").alias("assigned"),
+        F.array_sort(F.collect_list(own(F.col("article_id")))).alias("article_ids"),  # the articles of one session
     )
 
 
+def signal_counters(articles: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Per ticker what became of every article: one of demo, invalid_sentiment,
+    unusable_timestamp, canonical_duplicates, outside_calendar, title_duplicates,
+    eligible; they add up to considered. A copy of a kept row counts as a copy even
+    outside the calendar."""
+    one = lambda c: F.count(F.when(c, 1))
+    counted = eligible(articles).groupBy("ticker").agg(F.count("*").alias("considered"), *(one(F.col("why") == x).alias(x) for x in ("demo", "invalid_sentiment", "unusable_timestamp")))
+    placed = _placed(articles, sessions)
+    kept = _distinct_reports(placed)
+    outside = placed.where("session is null").select("ticker", "article_id", "address", "at")
+    by_id = kept.groupBy("ticker", "article_id").agg(F.min("at").alias("id_at"))
+    by_url = kept.where("address is not null").groupBy("ticker", "address").agg(F.min("at").alias("url_at"))
+    copied = outside.join(by_id, ["ticker", "article_id"], "left").join(by_url, ["ticker", "address"], "left")
+    copied = copied.withColumn("copy", F.coalesce(F.col("id_at") <= F.col("at"), F.lit(False)) | F.coalesce(F.col("url_at") < F.col("at"), F.lit(False)))
+    beyond = copied.groupBy("ticker").agg(one(~F.col("copy")).alias("outside_calendar"), one(F.col("copy")).alias("outside_copies"))
+    inside = placed.where("session is not null").groupBy("ticker").agg(F.count("*").alias("assignable"))
+    good = kept.groupBy("ticker").agg(F.count("*").alias("kept"), one(F.col("again")).alias("title_duplicates"))
+    out = counted.join(beyond, "ticker", "left").join(inside, "ticker", "left").join(good, "ticker", "left").na.fill(0)
+    return out.select(*counted.columns, (F.col("assignable") - F.col("kept") + F.col("outside_copies")).alias("canonical_duplicates"), "outside_calendar", "title_duplicates", (F.col("kept") - F.col("title_duplicates")).alias("eligible"))
+
+
 def _round2(c: Column) -> Column:
     """Two decimals, half to even on the exact binary value; no built-in rounds that
     way, and there is one value per company."""

@@ -384,15 +384,18 @@ def jn21_member_resolve(spark, sf_dir):
 
 _SIGNALS = """
 WITH cal AS (SELECT idx, CAST(epoch(close_at) AS BIGINT) AS hi, coalesce(lag(CAST(epoch(close_at) AS BIGINT)) OVER (ORDER BY idx), CAST(epoch(date) AS BIGINT)) AS lo FROM v_session),
-placed AS (SELECT a.*, cal.idx FROM (SELECT *, CASE WHEN date_only THEN (published_s // 86400 + 1) * 86400 ELSE published_s END AS at FROM v_session_article) a JOIN cal ON a.at >= cal.lo AND a.at < cal.hi),
-signals AS (SELECT ticker, idx, round(greatest(least(avg(polarity), 1.0), -1.0), 9) AS signal, count(*) AS articles, count(DISTINCT source) AS sources, avg(CAST(date_only AS INTEGER)) AS date_only_share FROM placed GROUP BY 1, 2),
+timed AS (SELECT *, CASE WHEN date_only THEN (published_s // 86400 + 1) * 86400 ELSE published_s END AS at, CASE WHEN date_only THEN 2 * (published_s // 86400 + 1) * 86400 - 1 ELSE 2 * published_s END AS place
+  FROM v_reaction_article WHERE NOT is_demo AND valid AND published_s IS NOT NULL),
+placed AS (SELECT a.*, cal.idx, row_number() OVER (PARTITION BY ticker, address ORDER BY place, article_id) AS copy FROM timed a JOIN cal ON a.at >= cal.lo AND a.at < cal.hi),
+told AS (SELECT *, row_number() OVER (PARTITION BY ticker, idx, title ORDER BY place, article_id) AS again FROM placed WHERE copy = 1),
+signals AS (SELECT ticker, idx, round(greatest(least(avg(polarity), 1.0), -1.0), 9) AS signal, count(*) AS articles, count(DISTINCT CASE WHEN source IN ('Nvidia Newsroom') THEN 'official' ELSE lower(source) END) AS sources, avg(CAST(date_only AS INTEGER)) AS date_only_share FROM told WHERE again = 1 GROUP BY 1, 2),
 tau AS (SELECT ticker, count(*) AS covered, greatest(round(quantile_cont(signal, 0.85), 2), 0.20) AS tp, greatest(round(-quantile_cont(signal, 0.15), 2), 0.20) AS tn FROM signals WHERE sources >= 3 GROUP BY 1)
 """
 
 
 def _signals(spark, sf_dir):
     # nine decimals: sums in another order must not move a signal over a threshold
-    return reaction.session_signals(A.session_article(spark, sf_dir), A.session(spark, sf_dir)).withColumn("signal", F.round("signal", 9))
+    return reaction.session_signals(A.reaction_article(spark, sf_dir), A.session(spark, sf_dir)).withColumn("signal", F.round("signal", 9))
 
 
 @query(_SIGNALS + "SELECT ticker, idx, round(signal, 6) AS signal, articles, sources, round(date_only_share, 6) AS date_only_share FROM signals")
@@ -400,6 +403,17 @@ def agg5_session_signal(spark, sf_dir):
     return _signals(spark, sf_dir).select("ticker", "idx", r6("signal").alias("signal"), "articles", "sources", r6("date_only_share").alias("date_only_share"))
 
 
+@query(_SIGNALS.rstrip() + """, seen AS (SELECT t.*, cal.idx FROM timed t LEFT JOIN cal ON t.at >= cal.lo AND t.at < cal.hi),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY ticker, address, idx IS NULL ORDER BY place, article_id) AS nth, min(place) FILTER (idx IS NOT NULL) OVER (PARTITION BY ticker, address) AS kept_at FROM seen),
+titled AS (SELECT *, row_number() OVER (PARTITION BY ticker, idx, title, nth ORDER BY place, article_id) AS again FROM ranked),
+fates AS (SELECT ticker, CASE WHEN idx IS NULL AND kept_at < place THEN 'copy' WHEN idx IS NULL THEN 'outside' WHEN nth > 1 THEN 'copy' WHEN again > 1 THEN 'title' ELSE 'eligible' END AS fate FROM titled
+  UNION ALL SELECT ticker, CASE WHEN is_demo THEN 'demo' WHEN NOT valid THEN 'invalid' ELSE 'unusable' END FROM v_reaction_article WHERE is_demo OR NOT valid OR published_s IS NULL)
+SELECT ticker, count(*) AS considered, count(*) FILTER (fate = 'demo') AS demo, count(*) FILTER (fate = 'invalid') AS invalid_sentiment, count(*) FILTER (fate = 'unusable') AS unusable_timestamp,
+  count(*) FILTER (fate = 'copy') AS canonical_duplicates, count(*) FILTER (fate = 'outside') AS outside_calendar, count(*) FILTER (fate = 'title') AS title_duplicates, count(*) FILTER (fate = 'eligible') AS eligible FROM fates GROUP BY 1""")
+def set4_signal_counters(spark, sf_dir):
+    return reaction.signal_counters(A.reaction_article(spark, sf_dir), A.session(spark, sf_dir))
+
+
 @query(_SIGNALS + "SELECT ticker, round(quantile_cont(signal, 0.85), 6) AS q85, round(quantile_cont(signal, 0.15), 6) AS q15 FROM signals GROUP BY 1")
 def agg6_quantiles(spark, sf_dir):
     return _signals(spark, sf_dir).groupBy("ticker").agg(r6(F.percentile("signal", 0.85)).alias("q85"), r6(F.percentile("signal", 0.15)).alias("q15"))

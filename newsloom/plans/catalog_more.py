@@ -78,7 +78,7 @@ def cls9_stake_disposal(spark, sf_dir):
 
 @query(None)
 def cls10_external_holding(spark, sf_dir):
-    return A.headline(spark, sf_dir).where(rules.external_holding(F.col("title"), NAMES)).select("article_id")
+    return A.headline(spark, sf_dir).where(rules.external_holding(F.col("title"), *COMPANY)).select("article_id")
 
 
 @query(None)
@@ -223,7 +223,7 @@ def set5_first_match(spark, sf_dir):
 
 def _ladder(title):
     return (
-        F.when(F.col("is_demo"), "demo").when(F.col("relevance") < 0.5, "low_relevance").when(rules.external_holding(title, NAMES), "holding")
+        F.when(F.col("is_demo"), "demo").when(F.col("relevance") < 0.5, "low_relevance").when(rules.external_holding(title, *COMPANY), "holding")
         .when(rules.hit(title, rules.PREDICTION), "prediction").when(rules.hit(title, rules.REACTION_ONLY), "market_reaction").when(rules.planned_insider_sale(title, NAMES), "insider_sale").otherwise("eligible")
     )
 
