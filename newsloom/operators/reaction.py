@@ -330,3 +330,45 @@ def null_simulation(spark, trials: int, n: int, seed: int = 1, level: float = 0.
             yield pd.DataFrame(out, columns=["trial", "low", "high", "excludes_zero"])
 
     return spark.range(trials).mapInPandas(run, "trial bigint, low double, high double, excludes_zero boolean")
+
+
+def tail_funnel(signals: DataFrame, tau: DataFrame) -> DataFrame:
+    """Per (ticker, regime): sessions beyond the threshold, those with enough sources,
+    and of these the ones whose articles all carry a time."""
+    side = F.when(F.col("signal") >= F.col("tau_positive"), "positive").when(F.col("signal") <= -F.col("tau_negative"), "negative")
+    tail = signals.join(tau.select("ticker", "tau_positive", "tau_negative"), "ticker").withColumn("regime", side).where("regime is not null")
+    enough = F.col("sources") >= MIN_SOURCES
+    return tail.groupBy("ticker", "regime").agg(F.count("*").alias("tail_sessions"), F.count(F.when(enough, 1)).alias("with_3_sources"), F.count(F.when(enough & F.col("exact_timing"), 1)).alias("exact_timing"))
+
+
+def event_study(signals: DataFrame, tau: DataFrame, prices: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
+    """Every qualified session with its fate: excluded_invalid (in ``excluded``: ticker,
+    idx; holds no window), suppressed_overlap, resolved, pending or missing_price_data,
+    and its path of returns. Prices: idx, close, benchmark of the market series."""
+    q = signals.join(tau.select("ticker", "tau_positive", "tau_negative"), "ticker")
+    q = q.withColumn("regime", regime(F.col("signal"), F.col("sources"), F.col("tau_positive"), F.col("tau_negative"))).where("regime is not null")
+    out = excluded.select("ticker", "idx", F.lit(True).alias("_out")) if excluded is not None else None
+    q = q.join(out, ["ticker", "idx"], "left") if out is not None else q.withColumn("_out", F.lit(None).cast("boolean"))
+    q = q.withColumn("_out", F.coalesce("_out", F.lit(False)))
+    kept = windows.exclusive(q.where("not _out"), ["ticker", "regime"], "idx", GAP).withColumn("_kept", F.lit(True))
+    paths = complete_paths(forward_paths(q.select("idx").distinct(), prices))
+    last = prices.agg(F.max(F.when(F.col("close").isNotNull(), F.col("idx"))).alias("_ls"), F.max(F.when(F.col("benchmark").isNotNull(), F.col("idx"))).alias("_lb"))
+    j = q.join(kept, ["ticker", "regime", "idx"], "left").join(paths, "idx", "left").join(F.broadcast(last))  # one row
+    status = event_status(F.coalesce("_kept", F.lit(False)), F.col("_out"), F.col("resolved"), F.col("idx"), F.col("_ls"), F.col("_lb"))
+    return j.select("ticker", "regime", "idx", "signal", "articles", "sources", "exact_timing", status.alias("status"), F.when(status == "resolved", F.col("path")).alias("path"))
+
+
+def regime_results(signals: DataFrame, tau: DataFrame, prices: DataFrame, excluded: DataFrame | None = None, primary: int = 5) -> DataFrame:
+    """Per (ticker, regime): events by fate, the return at the primary horizon over
+    resolved events (mean, median, halves in time order), and the mean of day 0 over
+    those of exact timing only. A regime without events has no row."""
+    e = event_study(signals, tau, prices, excluded)
+    value = F.when(F.col("status") == "resolved", F.get("path", F.lit(primary)))
+    day0 = F.when((F.col("status") == "resolved") & F.col("exact_timing"), F.get("path", F.lit(0)))
+    of = lambda s: F.count(F.when(F.col("status") == s, 1)).alias(s)
+    out = e.groupBy("ticker", "regime").agg(
+        F.count("*").alias("events"), *(of(s) for s in ("resolved", "pending", "missing_price_data", "suppressed_overlap", "excluded_invalid")),
+        F.avg(value).alias("mean"), F.median(value).alias("median"), F.count(day0).alias("day0_events"), F.avg(day0).alias("day0_mean"),
+    )
+    halves = split_half(e.where("status = 'resolved'").withColumn("v", F.get("path", F.lit(primary))), ["ticker", "regime"], "idx", "v")
+    return out.join(halves, ["ticker", "regime"], "left")
