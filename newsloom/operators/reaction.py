@@ -350,7 +350,7 @@ def event_study(signals: DataFrame, tau: DataFrame, prices: DataFrame, excluded:
     out = excluded.select("ticker", "idx", F.lit(True).alias("_out")) if excluded is not None else None
     q = q.join(out, ["ticker", "idx"], "left") if out is not None else q.withColumn("_out", F.lit(None).cast("boolean"))
     q = q.withColumn("_out", F.coalesce("_out", F.lit(False)))
-    kept = windows.exclusive(q.where("not _out"), ["ticker", "regime"], "idx", GAP).withColumn("_kept", F.lit(True))
+    kept = windows.exclusive(q.where("not _out"), ["ticker", "regime"], "idx", GAP).withColumnRenamed("kept", "_kept")
     paths = complete_paths(forward_paths(q.select("idx").distinct(), prices))
     last = prices.agg(F.max(F.when(F.col("close").isNotNull(), F.col("idx"))).alias("_ls"), F.max(F.when(F.col("benchmark").isNotNull(), F.col("idx"))).alias("_lb"))
     j = q.join(kept, ["ticker", "regime", "idx"], "left").join(paths, "idx", "left").join(F.broadcast(last))  # one row

@@ -69,7 +69,7 @@ def sqlite_table(spark: SparkSession, path: str, table: str, schema: str) -> Dat
                     f.flush()
                     db = sqlite3.connect(f"file:{os.path.abspath(f.name)}?mode=ro", uri=True)
                     try:
-                        yield from (page.reindex(columns=names) for page in pd.read_sql_query(f'select * from "{table}"', db, chunksize=10_000))
+                        yield from (page.reindex(columns=names).astype(object) for page in pd.read_sql_query(f'select * from "{table}"', db, chunksize=10_000))
                     finally:
                         db.close()
 
