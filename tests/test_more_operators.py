@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsloom.functions import formats
-from newsloom.operators import claims, coverage, grouping, reaction
+from newsloom.operators import claims, coverage, grouping, reaction, views
 from newsloom.sources import feeds, readers
 
 ASSESSED = "claims int, assessments array<struct<claim_id:string,status:string,cited:array<bigint>>>, ids array<bigint>"
@@ -178,3 +178,25 @@ def test_readers(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/pub/{folder}").count() == 5
     readers.report(first, str(tmp_path / "report"))
     assert spark.read.json(str(tmp_path / "report")).count() == 2
+
+
+def test_spaced_sample_keeps_its_distance(spark):
+    df = spark.range(0, 400).selectExpr("'k' as k", "id as idx")
+    got = sorted(r["idx"] for r in views.spaced_sample(df, ["k"], "idx", 5, 1).collect())
+    assert len(got) > 30 and min(b - a for a, b in zip(got, got[1:])) >= 5
+    assert got == sorted(r["idx"] for r in views.spaced_sample(df.repartition(7), ["k"], "idx", 5, 1).collect())
+    assert got != sorted(r["idx"] for r in views.spaced_sample(df, ["k"], "idx", 5, 2).collect())
+
+
+def test_readiness_counts_exclusive_sessions_inside_the_calendar(spark):
+    s = spark.createDataFrame([("T", i, x, n) for i, x, n in ((0, 0.5, 3), (3, 0.5, 4), (5, 0.5, 3), (9, 0.5, 2), (12, -0.3, 3), (17, -0.3, 3))], "ticker string, idx bigint, signal double, sources bigint")
+    got = {(r["tau"], r["regime"]): (r["tail_sessions"], r["with_3_sources"], r["after_exclusivity"], r["resolved_5"], r["resolved_10"]) for r in views.readiness(s, (0.2, 0.4), 20).collect()}
+    assert got == {(0.2, "positive"): (4, 3, 2, 2, 2), (0.4, "positive"): (4, 3, 2, 2, 2), (0.2, "negative"): (2, 2, 2, 1, 0)}
+
+
+def test_evidence_checks(spark):
+    jobs = spark.createDataFrame([(1, 0, None), (2, 0, 5), (3, 95, 5), (4, 95, None), (5, 95, None)], "article_id bigint, published_s bigint, checked_s bigint")
+    stored = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (4, "a")], "article_id bigint, fingerprint string")
+    current = spark.createDataFrame([(1, "b"), (2, "b"), (3, "a"), (5, "a")], "article_id bigint, fingerprint string")
+    got = {r["article_id"]: (r["evidence"], r["checked_s"]) for r in views.evidence_checked(jobs, stored, current, F.lit(100), 10).collect()}
+    assert got == {1: ("changed", 100), 2: (None, 5), 3: ("current", 100), 4: (None, None), 5: (None, None)}
