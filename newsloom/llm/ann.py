@@ -7,9 +7,11 @@ chosen one. A query reads the lists whose centroid distance is within a ratio of
 nearest, and as many of them as a block of held queries needs: their true neighbours
 are found by comparing them with every row, and the lists read grow, up to all of them,
 until RECALL of these neighbours are met. A query whose lists hold too few vectors
-reads all lists. Lists are cut into blocks, so a vector that a third of all rows repeat
-fills many blocks and no task; every row is indexed, the sample only places the
-centroids, whose number grows with the table up to MOST_LISTS.
+reads all lists. Neighbouring lists share a shelf, and a task reads the lists of a shelf
+for a block of queries and returns one top-k for them all, so candidates do not grow
+with the lists read. Shelves are cut into blocks by vector, so a vector that a third of
+all rows repeat fills many blocks and no task; every row is indexed, the sample only
+places the centroids, whose number grows with the table up to MOST_LISTS.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ REPLICAS = 4
 CLOSURE = 1.12  # boundary vectors go to lists within this ratio of the nearest
 PRUNE = 1.35  # queries read lists within this ratio of the nearest
 PROBES = 64  # lists a query reads before any are added
-BLOCK, QUERY_BLOCK = 4_096, 1_024
+SHELF = 32  # lists on a shelf
+BLOCK, QUERY_BLOCK = 32_768, 1_024
 HELD = 256  # queries whose true neighbours are found to measure recall
 RECALL = 0.95  # aimed at on the held queries
 WIDEST = 4.0  # ratio beyond which none is asked for
@@ -71,12 +74,29 @@ def balanced_centroids(x: np.ndarray, lists: int, rounds: int = 12, seed: int =
     return c
 
 
+def shelves(centroids: np.ndarray, lists: int = SHELF) -> np.ndarray:
+    """The shelf of each centroid: halves along the widest direction, until a part has
+    at most so many lists."""
+    out = np.zeros(len(centroids), np.int32)
+    todo, n = [np.arange(len(centroids))], 0
+    while todo:
+        own = todo.pop()
+        if len(own) <= lists:
+            out[own], n = n, n + 1
+            continue
+        x = centroids[own] - centroids[own].mean(axis=0)
+        order = np.argsort(x @ np.linalg.svd(x, full_matrices=False)[2][0], kind="stable")
+        todo += [own[order[: len(own) // 2]], own[order[len(own) // 2 :]]]
+    return out
+
+
 class Graph:
     """Neighbour graph over centroids with a best-first search from fixed entries."""
 
     def __init__(self, centroids: np.ndarray, degree: int = 16, radius: float = 0.0):
         self.c = centroids
         self.radius = radius  # the usual distance of a vector from its list's centroid
+        self.shelf = shelves(centroids)
         n = len(centroids)
         near = np.concatenate([np.argsort(-(centroids[a : a + _ROWS] @ centroids.T), axis=1, kind="stable")[:, : degree + 1] for a in range(0, n, _ROWS)])
         links = [set(row.tolist()) - {i} for i, row in enumerate(near)]
@@ -143,15 +163,23 @@ def _choose(graph: Graph, q: np.ndarray, ratio: float, most: int, shadow: bool)
 
 
 def _routed(rows: DataFrame, graph: Graph, ratio: float, most: int, shadow: bool) -> DataFrame:
+    """(shelf, vec_id, v, lists) of every row: a row for each shelf that it meets, with
+    its lists there."""
+
     def run(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pages:
             for a in range(0, len(pdf), 1024):
                 part = pdf.iloc[a : a + 1024]
-                lists = _choose(graph, unit(vectors.matrix(part["v"])).astype(np.float32), ratio, most, shadow)
-                at = np.repeat(np.arange(len(part)), [len(x) for x in lists])
-                yield pd.DataFrame({"list": np.concatenate(lists), "vec_id": part["vec_id"].to_numpy()[at], "v": part["v"].to_numpy()[at]})
+                chosen = _choose(graph, unit(vectors.matrix(part["v"])).astype(np.float32), ratio, most, shadow)
+                at = np.repeat(np.arange(len(part)), [len(x) for x in chosen])
+                lists = np.concatenate(chosen).astype(np.int32)
+                shelf = graph.shelf[lists]
+                order = np.lexsort((lists, shelf, at))
+                at, lists, shelf = at[order], lists[order], shelf[order]
+                first = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (shelf[1:] != shelf[:-1]))) if len(at) else np.zeros(0, np.int64)
+                yield pd.DataFrame({"shelf": shelf[first], "vec_id": part["vec_id"].to_numpy()[at[first]], "v": part["v"].to_numpy()[at[first]], "lists": np.split(lists, first[1:]) if len(first) else []})
 
-    return rows.select("vec_id", "v").mapInPandas(run, "list int, vec_id bigint, v array<double>")
+    return rows.select("vec_id", "v").mapInPandas(run, "shelf int, vec_id bigint, v array<double>, lists array<int>")
 
 
 def _found(ids: np.ndarray, x: np.ndarray, own: np.ndarray, y: np.ndarray, k: int) -> dict[str, np.ndarray]:
@@ -253,18 +281,46 @@ def nearest(embeddings: DataFrame, k: int = 5) -> DataFrame:
 
 
 def _searched(posted: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    q_size = asked.groupBy("list").agg(F.ceil(F.count("*") / F.lit(QUERY_BLOCK)).cast("int").alias("_qb"))
-    sizes = posted.groupBy("list").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("_vb")).join(q_size, "list")
-    sizes = F.broadcast(durable(sizes, "lists"))  # at most MOST_LISTS rows
-    v = vectors.deal(posted, sizes, ["list"], "vb", "qb")
-    q = vectors.deal(asked, sizes, ["list"], "qb", "vb")
+    q_size = asked.groupBy("shelf").agg(F.ceil(F.count("*") / F.lit(QUERY_BLOCK)).cast("int").alias("_qb"))
+    sizes = posted.groupBy("shelf").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("_vb")).join(q_size, "shelf")
+    sizes = F.broadcast(durable(sizes, "shelves"))  # fewer rows than lists
+    v = vectors.deal(posted, sizes, ["shelf"], "vb", "qb")
+    q = vectors.deal(asked, sizes, ["shelf"], "qb", "vb")
 
     def search(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_found(v["vec_id"].to_numpy(), vectors.matrix(v["v"]), q["vec_id"].to_numpy(), vectors.matrix(q["v"]), k))
+        return pd.DataFrame(_best_of_lists(v, q, k))
 
-    found = v.groupBy("list", "vb", "qb").cogroup(q.groupBy("list", "vb", "qb")).applyInPandas(search, vectors.TOP.format("double"))
+    found = v.groupBy("shelf", "vb", "qb").cogroup(q.groupBy("shelf", "vb", "qb")).applyInPandas(search, vectors.TOP.format("double"))
     return vectors.ranked(found, k)
 
 
+def _members(lists: pd.Series) -> dict[int, np.ndarray]:
+    """Row numbers by list."""
+    flat = np.concatenate(lists.to_list()) if len(lists) else np.zeros(0, np.int32)
+    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    order = np.argsort(flat, kind="stable")
+    names, first = np.unique(flat[order], return_index=True)
+    return dict(zip(names.tolist(), np.split(row[order], first[1:])))
+
+
+def _best_of_lists(v: pd.DataFrame, q: pd.DataFrame, k: int) -> dict[str, np.ndarray]:
+    """The k best vectors of each query over the lists that it reads."""
+    out = {"query_id": [], "vec_id": [], "score": []}
+    if len(v) and len(q):
+        ids, x, own, y = v["vec_id"].to_numpy(), vectors.matrix(v["v"]), q["vec_id"].to_numpy(), vectors.matrix(q["v"])
+        there, asking = _members(v["lists"]), _members(q["lists"])
+        found = [_found(ids[there[z]], x[there[z]], own[asking[z]], y[asking[z]], k) for z in asking.keys() & there.keys()]
+        every = {c: np.concatenate([f[c] for f in found if len(f["query_id"])] or [np.zeros(0)]) for c in out}
+        order = np.lexsort((every["vec_id"], -every["score"], every["query_id"]))
+        every = {c: z[order] for c, z in every.items()}
+        # a boundary vector is met in several lists
+        new = np.append(True, (np.diff(every["query_id"]) != 0) | (np.diff(every["vec_id"]) != 0)) if len(order) else np.zeros(0, bool)
+        every = {c: z[new] for c, z in every.items()}
+        start = np.append(True, np.diff(every["query_id"]) != 0) if len(every["query_id"]) else np.zeros(0, bool)
+        place = np.arange(len(start)) - np.maximum.accumulate(np.where(start, np.arange(len(start)), 0)) if len(start) else start
+        return {c: z[place < k] for c, z in every.items()} if len(start) else out
+    return out
+
+
 def _cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(np.einsum("ij,ij->i", a, b), -1.0, 1.0)
