@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from newsloom.llm import vectors
 from newsloom.llm.common import durable
 
-SAMPLE = 131_072  # vectors that place the centroids, at most
+SAMPLE = 65_536  # vectors that place the centroids, at most
 LIST = 256  # vectors aimed at per list
-MOST_LISTS = 16_384
+MOST_LISTS = 8_192
 REPLICAS = 4
 CLOSURE = 1.12  # boundary vectors go to lists within this ratio of the nearest
 PRUNE = 1.35  # queries read lists within this ratio of the nearest
@@ -255,8 +255,9 @@ def nearest(embeddings: DataFrame, k: int = 5) -> DataFrame:
     n = rows.count()
     if not n:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    sample = rows.orderBy(F.xxhash64("vec_id", F.lit(2))).limit(SAMPLE).select("v").toPandas()
-    u = unit(vectors.matrix(sample["v"])).astype(np.float32)
+    sample = rows.orderBy(F.xxhash64("vec_id", F.lit(2))).limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()
+    u = unit(sample.flatten().to_numpy(zero_copy_only=False).reshape(len(sample), -1)).astype(np.float32)
+    del sample
     x = np.unique(u, axis=0)
     lists = max(1, min(MOST_LISTS, len(x) // 8, -(-n // LIST)))
     centroids = balanced_centroids(x, lists)  # at most MOST_LISTS
