@@ -357,8 +357,8 @@ def keep_one(docs: DataFrame, threshold: float = 0.8, width: int = 5) -> DataFra
     """
     found = durable(_classes(docs, threshold, width).select("doc_id", "sk", "class_key"), "near")
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "sk")
-    several = found.groupBy("class_key").agg(F.min(first).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    lost = durable(found.join(several, "class_key").where(~first.eqNullSafe(F.col("first"))).select("doc_id", "sk").distinct(), "lost")
+    several = durable(found.groupBy("class_key").agg(F.min(first).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "several")
+    lost = durable(found.join(small_side(several, several.count()), "class_key").where(~first.eqNullSafe(F.col("first"))).select("doc_id", "sk").distinct(), "lost")
     again = durable(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
     n_again = again.count()
     gone = lost.where("doc_id is not null").select("doc_id").distinct()

@@ -184,7 +184,7 @@ def _segments(docs: DataFrame, tokenizer: str) -> DataFrame:
     bounds = _shards(docs)
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tokens.slices(batches, "text"):
+        for batch in tokens.slices(batches, "text", 8 << 20):
             flat, counts = tokens.encode(batch.column("text"), tokenizer)
             doc_ids = batch.column("doc_id").cast(pa.int64()).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
             low, high = np.searchsorted(bounds, doc_ids, "left"), np.searchsorted(bounds, doc_ids, "right")

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 END_ID = 0
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _UNUSUAL = "[\\x00-\\x09\\x0b-\\x1f\\x7f-\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200f}\\x{2028}-\\x{202f}\\x{205f}\\x{3000}\\x{feff}]|[ \\n][ \\n]"
-_BATCH_BYTES = 8 << 20
+_BATCH_BYTES = 4 << 20
 _JOIN = 512
 _STRETCH = 1 << 18  # characters that the library encodes at a time
 _SEAM = re.compile("[A-Za-z] ")
