@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions import text
-from newsloom.session import send_package
+from newsloom.session import send_package, written
 
 NEAR_TITLE_S = 6 * 3600
 
@@ -104,15 +104,15 @@ def similar_pairs(reports: DataFrame, key: list[str], terms: str, window_seconds
 def connected(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(article_id, group_id): the least id reachable over the pairs, by taking the
     least label of the neighbours and of the label itself until nothing changes. Each
-    round is checkpointed in the shared folder."""
-    edges = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
-    labels = nodes.select(F.col("article_id").alias("n"), F.col("article_id").alias("g")).checkpoint()
+    round is a written table in the shared folder."""
+    edges = written(pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = written(nodes.select(F.col("article_id").alias("n"), F.col("article_id").alias("g")))
     state = None
     while True:
         near = edges.join(labels, F.col("b") == F.col("n")).groupBy("a").agg(F.min("g").alias("m"))
         step = labels.join(near, F.col("n") == F.col("a"), "left").select("n", F.least("g", "m").alias("g"))
         jump = step.select(F.col("n").alias("k"), F.col("g").alias("h"))
-        new = step.join(jump, F.col("g") == F.col("k")).select("n", F.col("h").alias("g")).checkpoint()
+        new = written(step.join(jump, F.col("g") == F.col("k")).select("n", F.col("h").alias("g")))
         labels, before = new, state
         state = new.agg(F.sum(F.xxhash64("n", "g").cast("decimal(38,0)"))).first()[0]
         if state == before:
@@ -127,11 +127,12 @@ def greedy_distinct(rows: DataFrame, group: list[str], keys: list[str], order: l
     Null keys match nothing; of rows equal in group and order one stays; order decides
     ties by its further columns; an empty table gives no rows. A round keeps the rows
     that come first under all their keys and drops what they claim; rounds follow the
-    longest chain of claims, and a round's rows are checkpointed.
+    longest chain of claims, and what a round keeps and leaves are written tables.
     """
-    left = rows.dropDuplicates([*group, *order])
-    place = F.struct(*order)
-    kept = None
+    place, some = F.struct(*order), F.coalesce(*(F.col(k).cast("string") for k in keys)).isNotNull()
+    left = written(rows)
+    kept = left.where(~some).dropDuplicates([*group, *order])
+    left = left.where(some).dropDuplicates([*group, *order])
     while True:
         marked, first = left.withColumn("_place", place), F.lit(True)
         for k in keys:
@@ -139,16 +140,13 @@ def greedy_distinct(rows: DataFrame, group: list[str], keys: list[str], order: l
             least = left.where(F.col(k).isNotNull()).groupBy(*group, k).agg(F.min(place).alias(f"_least_{k}"))
             marked = marked.join(least, [*group, k], "left")
             first = first & (F.col(f"_least_{k}").isNull() | (F.col(f"_least_{k}") == F.col("_place")))
-        marked = marked.withColumn("_first", first).select(*rows.columns, "_first").checkpoint()
-        own = marked.where("_first").select(rows.columns)
-        rest = marked.where("not _first").select(rows.columns)
+        own = written(marked.where(first).select(rows.columns))
+        kept, rest = kept.unionByName(own), left
         for k in keys:
-            claimed = own.where(F.col(k).isNotNull()).select(*group, k).distinct()
-            rest = rest.join(claimed, [*group, k], "left_anti").select(rows.columns)
-        kept = own if kept is None else kept.unionByName(own)
-        if rest.isEmpty():
+            rest = rest.join(own.where(F.col(k).isNotNull()).select(*group, k), [*group, k], "left_anti").select(rows.columns)
+        left = written(rest)
+        if left.isEmpty():
             return kept
-        left = rest
 
 
 def first_match_groups(signals: DataFrame, keys: list[str], window_seconds: int = 48 * 3600, least: float = 0.75, distinctive: int = 4) -> DataFrame:

@@ -10,6 +10,7 @@ from newsloom.functions import formats, rules
 from newsloom.operators import claims, coverage, reaction
 from newsloom.plans.catalog import COMPANY, _SIGNALS, _TERMS, _second, _signals, query, r6
 from newsloom.plans.catalog_more import _CLASS, _hit
+from newsloom.session import written
 from newsloom.sources import feeds
 
 STATUS = ("corroborated", "contradicted", "unsupported", "uncertain")
@@ -234,7 +235,7 @@ def _members(spark, sf_dir):
 UNION ALL SELECT ticker, idx, 'exclude', count(DISTINCT {_ORGS}) FILTER (role = 'principal') >= 3 FROM rl GROUP BY 1, 2 UNION ALL SELECT ticker, idx, 'session_ineligible', count(DISTINCT {_ORGS}) FILTER (role = 'principal') >= 3 AND count(*) FILTER (role IS NULL) = 0 FROM rl GROUP BY 1, 2)
 SELECT ticker, policy, count(*) AS sessions, count(*) FILTER (ok) AS qualified FROM q GROUP BY 1, 2""")
 def cls29_role_eligibility(spark, sf_dir):
-    members, roles = _members(spark, sf_dir).checkpoint(), _roles(spark, sf_dir)
+    members, roles = written(_members(spark, sf_dir)), _roles(spark, sf_dir)
     out = None
     for policy in coverage.POLICIES:
         own = coverage.qualifying_sessions(members, roles, policy).groupBy("ticker").agg(F.count("*").alias("sessions"), F.count(F.when(F.col("qualifies"), 1)).alias("qualified")).withColumn("policy", F.lit(policy))
@@ -250,14 +251,14 @@ def mis17_role_priority(spark, sf_dir):
 @query(_SIGNALS.rstrip() + """, q AS (SELECT s.*, CASE WHEN signal >= tp THEN 'positive' WHEN signal <= -tn THEN 'negative' END AS regime FROM signals s JOIN tau USING (ticker))
 SELECT ticker, regime, count(*) AS tail_sessions, count(*) FILTER (sources >= 3) AS with_3_sources, count(*) FILTER (sources >= 3 AND date_only_share = 0) AS exact_timing FROM q WHERE regime IS NOT NULL GROUP BY 1, 2""")
 def mis40_funnel(spark, sf_dir):
-    s = _signals(spark, sf_dir).checkpoint()
+    s = written(_signals(spark, sf_dir))
     return reaction.tail_funnel(s, reaction.thresholds(s, ["ticker"]))
 
 
 @query(None)
 def cmp5_regime_results(spark, sf_dir):
     s = A.session(spark, sf_dir)
-    signals = _signals(spark, sf_dir).checkpoint()
+    signals = written(_signals(spark, sf_dir))
     out = reaction.regime_results(signals, reaction.thresholds(signals, ["ticker"]), reaction.aligned_prices(A.price(spark, sf_dir), s))
     return out.select(*[r6(c).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 

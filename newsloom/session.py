@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _sent: set[str] = set()
 
@@ -29,6 +30,22 @@ def build(name: str = "newsloom", master: str | None = None, shuffle_partitions:
     return b.config(map=conf).getOrCreate()
 
 
+def written(df: DataFrame, name: str = "core") -> DataFrame:
+    """The rows as a written table in the folder that the cluster shares: they are worked
+    out once, and the loss of an executor costs none of them. Outside a cluster a folder
+    of our own serves where none is set."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="newsloom-")
+        spark.sparkContext.setCheckpointDir(root)
+    path = f"{root.rstrip('/')}/newsloom/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def send_package(spark: SparkSession) -> None:
     """Python workers import the package from a zip that Spark distributes, wherever
     the driver was started."""
