@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from newsloom.llm import mixing, ngram_join, packing, queries, secrets, toxicity
 from newsloom.llm.common import durable, scratch_path, table
 
-#: SQL cannot express the stages (a trained machine first of all); tests hold each
-#: stage against a plainer version on a small fixture.
+#: SQL cannot express the stages (a trained machine first of all); tests hold what the
+#: stages keep, cut and pack against plainer versions on a small fixture.
 ORACLE_SQL = None
 
 
