@@ -749,3 +749,35 @@ def test_pipeline_stages(spark, small, awkward, empty):
             if name != "best_fit_packing":
                 assert got.columns == rows.columns
             got.count()
+
+
+def test_what_the_stages_keep_against_plainer_versions(spark, small):
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    scored = toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{small}/labels.parquet")))
+    mild = {r["doc_id"] for r in scored.where("predicted = 0").collect()}
+    assert {r["doc_id"] for r in stages["toxicity"](spark, docs, small).collect()} == mild
+
+    variants = spark.createDataFrame([(i, t) for i, t in enumerate(_variants(21))], "doc_id bigint, text string")
+    texts = [t for t in _variants(21)]
+    links, seen, least = _brute_links(texts), set(), []
+    for i in range(len(texts)):
+        if i not in seen:  # the first met of a component is its least
+            least.append(i)
+            todo = [i]
+            while todo:
+                k = todo.pop()
+                if k not in seen:
+                    seen.add(k)
+                    todo += links[k]
+    assert sorted(r["doc_id"] for r in stages["ngram_jaccard_join"](spark, variants, small).collect()) == least
+
+    mixed = stages["mixing"](spark, docs, small).groupBy("doc_id").count().collect()
+    want = {r["doc_id"]: r["copies"] for r in queries.op9_soft_mixing(spark, small).collect() if r["copies"]}
+    assert {r["doc_id"]: r["count"] for r in mixed} == want
+
+    packed = stages["best_fit_packing"](spark, docs, small).collect()
+    ids = _plain_ids([r["text"] for r in docs.collect()])
+    assert sum(r["length"] for r in packed) == sum(map(len, ids)) and _check_packing(packed, queries.CAPACITY) >= -(-sum(map(len, ids)) // queries.CAPACITY)
