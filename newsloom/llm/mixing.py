@@ -36,7 +36,7 @@ PASSES = 40  # over the documents, at most
 STRETCH = 150  # steps between two passes
 MOVED = 1e-5  # largest change of a rate by a further step at which the fit ends
 CELLS = 20_000  # of the grid, about
-_CHUNK = 1 << 21
+_CHUNK, _ROWS = 1 << 18, 512  # bytes and texts that are counted at a time
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +58,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     start = 0
     while start < len(texts):
         base = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, base + _CHUNK, "right")))
+        stop = min(start + _ROWS, max(start + 1, int(np.searchsorted(ends, base + _CHUNK, "right"))))
         part = data[base : ends[stop - 1]].astype(np.uint32)
         doc = np.repeat(np.arange(stop - start), size[start:stop])
         if len(part) > 1:
@@ -84,7 +84,9 @@ class Classifier:
 def train(texts: list[str], domains: list[str], rounds: int = 300) -> Classifier:
     """Multinomial logistic regression by accelerated gradient descent."""
     names = sorted(set(domains)) or ["all"]
-    x, _ = features(pa.array(texts, pa.string()))
+    x = np.empty((len(texts), HASHED + 1), np.float32)
+    for a in range(0, len(texts), _ROWS):  # the driver holds the counts of a few texts at a time
+        x[a : a + _ROWS] = features(pa.array(texts[a : a + _ROWS], pa.string()))[0]
     x[:, :-1] *= 4
     w = np.zeros((x.shape[1], len(names)), np.float32)
     if len(names) > 1:

@@ -37,6 +37,7 @@ LONGEST = 48  # longer units are scored in overlapping windows of this length
 MAX_TRAIN = 4_000  # labelled documents in the training sample, at most
 LANDMARKS = 96
 BEST = 4  # units of a document that decide it
+_AT_ONCE = 1 << 17  # subsequences that are weighed at a time
 
 
 @cache
@@ -115,10 +116,11 @@ class Model:
         out = np.full(len(units), self.bias)
         best = np.full(len(units), -np.inf)
         for at, codes in _codes(units).values():
-            for a in range(0, len(codes), 4096):
-                seq, w, norm = _subsequences(codes[a : a + 4096])
+            some = max(1, _AT_ONCE // len(_positions(codes.shape[1])[0]))
+            for a in range(0, len(codes), some):
+                seq, w, norm = _subsequences(codes[a : a + some])
                 value = (self.weights[seq] * w).sum(axis=1) / np.maximum(norm, 1e-12) + self.bias
-                np.maximum.at(best, at[a : a + 4096], value)
+                np.maximum.at(best, at[a : a + some], value)
         return np.where(np.isfinite(best), best, out)
 
     def probability(self, texts: pa.Array) -> np.ndarray:
@@ -179,17 +181,24 @@ def _gram_evidence(units: list[str], pos: np.ndarray, neg: np.ndarray, share: fl
                 g = np.zeros((len(codes), codes.shape[1] - n + 1), np.int64)
                 for k in range(n):
                     g = g * LETTERS + codes[:, k : k + g.shape[1]]
-                grams.append((at, (g * 2 + n % 2) % 4_194_301))
-    p, q = np.zeros(4_194_301, np.float32), np.zeros(4_194_301, np.float32)
+                grams.append((at, ((g * 2 + n % 2) % 4_194_301).astype(np.int32)))
+    # counts of the runs that occur: a table of all numbers would fill the driver
+    met = np.zeros(4_194_301, bool)
+    for _, g in grams:
+        met[g] = True
+    used = np.flatnonzero(met).astype(np.int32)
+    del met
+    p, q = np.zeros(len(used), np.float32), np.zeros(len(used), np.float32)
     for at, g in grams:
-        wide = g.shape[1]
-        p += np.bincount(g.ravel(), np.repeat(pos[at], wide), len(p)).astype(np.float32)
-        q += np.bincount(g.ravel(), np.repeat(neg[at], wide), len(q)).astype(np.float32)
+        wide, place = g.shape[1], np.searchsorted(used, g).ravel()
+        p += np.bincount(place, np.repeat(pos[at], wide), len(p)).astype(np.float32)
+        q += np.bincount(place, np.repeat(neg[at], wide), len(q)).astype(np.float32)
     z = (p - share * (p + q)) / np.sqrt(share * (1 - share) * np.maximum(p + q, 1))
     z[(p + 0.5) * (1 - share) < ratio * (q + 0.5) * share] = -np.inf
     for at, g in grams:
-        top = z[g].argmax(axis=1)
-        value = z[g][np.arange(len(g)), top]
+        own = z[np.searchsorted(used, g)]
+        top = own.argmax(axis=1)
+        value = own[np.arange(len(g)), top]
         better = value > best[at]
         best[at[better]] = value[better]
         which[at[better]] = g[better, top[better]]
@@ -291,6 +300,7 @@ def _train_units(texts: list[str], labels: list[int], seed: int) -> Model:
     value, vector = np.linalg.eigh(gram)
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-4))) @ vector.T
     back = phi.T @ root  # subsequence space -> Nyström features
+    del phi
 
     def nystrom(units: np.ndarray) -> np.ndarray:
         return np.concatenate([features([known[i] for i in units[a : a + 128]]) @ back for a in range(0, len(units), 128)] or [np.zeros((0, len(root)))])

@@ -781,3 +781,21 @@ def test_what_the_stages_keep_against_plainer_versions(spark, small):
     packed = stages["best_fit_packing"](spark, docs, small).collect()
     ids = _plain_ids([r["text"] for r in docs.collect()])
     assert sum(r["length"] for r in packed) == sum(map(len, ids)) and _check_packing(packed, queries.CAPACITY) >= -(-sum(map(len, ids)) // queries.CAPACITY)
+
+
+def test_training_holds_little_on_the_driver():
+    import tracemalloc
+
+    def peak(f):
+        tracemalloc.start()
+        try:
+            f()
+            return tracemalloc.get_traced_memory()[1] / 1e6
+        finally:
+            tracemalloc.stop()
+
+    units = [f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(200)]
+    assert peak(lambda: toxicity._gram_evidence(units, np.ones(200), np.zeros(200), 0.5, 5)) < 20
+    model = toxicity.Model(np.zeros(toxicity.LETTERS**3), 0.0, np.zeros(toxicity.BEST + 1))
+    assert peak(lambda: model.units(["abcdefgh" * 6] * 4096)) < 30
+    assert peak(lambda: mixing.train([f"text {k}" for k in range(4000)], ["a", "b"] * 2000, rounds=1)) < 90
